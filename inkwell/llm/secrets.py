@@ -47,7 +47,7 @@ def scan(blobs: DataFrame, ledger: DataFrame | None = None, rules=RULES, rule_ve
     each = []
     for k, (kind, rx, least) in enumerate(rules):
         m = F.col(f"m_{kind}")
-        ok = F.transform(m, lambda x, rx=rx, least=least: F.lit(True) if least is None else F.length(F.regexp_extract(x, rx, 2)) >= least)
+        ok = F.transform(m, long_enough(rx, least))
         lengths = F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("ord"), F.transform(m, F.length).alias("match"), F.transform(F.split("text", rx, -1), F.length).alias("gap"), ok.alias("ok"))
         each.append(F.when(F.size(m) > 0, lengths))
     rows = found.select("blob_id", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("r"))
@@ -58,6 +58,10 @@ def scan(blobs: DataFrame, ledger: DataFrame | None = None, rules=RULES, rule_ve
     return rows, new.select("blob_id", F.lit(rule_version).alias("rule_version"))
 
 
+def long_enough(rx: str, least: int | None):
+    return lambda x: F.lit(True) if least is None else F.length(F.regexp_extract(x, rx, 2)) >= least
+
+
 def digest(findings: DataFrame) -> DataFrame:
     """One row a blob: counts by base kind, spans in order. Grouped per blob, so bounded by one text's matches."""
     spans = F.sort_array(F.collect_set(F.struct("start", "ord", "kind", "stop"))).alias("spans")
