@@ -1,8 +1,10 @@
 """The training-data queries and, where SQL can express them, their DuckDB equivalents."""
 
-from inkwell.llm import mixing, secrets
+from inkwell.llm import bpe, mixing, secrets, simhash
 
 QUERIES = {
+    "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op2_byte_bpe": bpe.op2_byte_bpe,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op10_mix_sources": mixing.op10_mix_sources,
 }

@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
+
+import inkwell
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,21 @@ from pyspark.sql import functions as F
 _local: list[str] = []
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application, so that Python workers anywhere can import it."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        home = Path(inkwell.__file__).parent
+        with tempfile.TemporaryDirectory() as d:
+            tree = Path(d, "tree", home.name)
+            shutil.copytree(home, tree, ignore=shutil.ignore_patterns("__pycache__"))
+            sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{home.name}", "zip", tree.parent))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
