@@ -1,12 +1,13 @@
 """The training-data queries and, where SQL can express them, their DuckDB equivalents."""
 
-from inkwell.llm import bpe, mixing, secrets, simhash, toxicity
+from inkwell.llm import bpe, lm, mixing, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_lm_scores": lm.op7_lm_scores,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLES = {
