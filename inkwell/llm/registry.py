@@ -1,6 +1,6 @@
 """The training-data queries and, where SQL can express them, their DuckDB equivalents."""
 
-from inkwell.llm import bpe, lm, mixing, secrets, simhash, toxicity
+from inkwell.llm import ann, bpe, lm, mixing, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_lm_scores": lm.op7_lm_scores,
+    "op9_nearest": ann.op9_nearest,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLES = {
