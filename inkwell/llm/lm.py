@@ -31,46 +31,23 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.llm.hashing import U, mixed, stretches
 from inkwell.llm.shared import scratch_path, ship, table
 
 FOLDS, BLOCK = 10, 1 << 21
-U = np.uint64
-K = U(0x9E3779B97F4A7C55)
-K_INV = U(pow(int(K), -1, 1 << 64))
 END, BEGIN = U(1), U(2)  # ids of words are larger
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) <= n:
-        for k, base in enumerate((K, K_INV)):
-            run = np.full(max(n, BLOCK) + 1, base)
-            run[0] = 1
-            _powers[k] = np.multiply.accumulate(run)
-    return _powers[0], _powers[1]
-
-
 def word_ids(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Ids and starts of the words in raw."""
     b = LOWER[np.frombuffer(raw, np.uint8)]
     gap = SPACE[b]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
     start, stop = edge[::2], edge[1::2]
-    up, down = powers(len(b))
-    total = np.concatenate([np.zeros(1, U), np.cumsum((b.astype(U) + U(1)) * up[: len(b)])])
-    h = (total[stop] - total[start]) * down[start] + (stop - start).astype(U) * U(0xD6E8FEB86659FD93)
-    return np.maximum(mixed(h) >> U(16), U(3)), start
+    return np.maximum(stretches(b, start, stop) >> U(16), U(3)), start
 
 
 def tokens(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
