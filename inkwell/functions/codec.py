@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from inkwell.functions.udf import arrow_udf
+
 
 def floor_log2(x: Column) -> Column:
     return (F.length(F.bin(x)) - 1).cast("long")
@@ -32,7 +34,7 @@ def delta(x: Column) -> Column:
 def minimal_binary(x: Column, bound: Column) -> Column:
     """x in 1..bound: short codes first, as many as fill the tree."""
     bits = ceil_log2(bound).cast("int")
-    short = F.shiftleft(F.lit(1).cast("long"), bits) - bound
+    short = F.pow(F.lit(2), bits).cast("long") - bound
     low = x - 1
     is_short = low < short
     width = F.when(is_short, bits - 1).otherwise(bits)
@@ -71,4 +73,4 @@ def _decode(kind: str):
 
 def decode(bits: Column, kind: str) -> Column:
     """Numbers of a bit string: kind is unary, gamma or delta. A rest of zeros is padding."""
-    return F.pandas_udf(_decode(kind), ArrayType(LongType()))(bits)
+    return arrow_udf(_decode(kind), ArrayType(LongType()))(bits)

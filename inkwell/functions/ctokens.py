@@ -6,7 +6,8 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from inkwell.functions.udf import arrow_udf
 
 KEYWORDS = frozenset(
     "auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while _Bool _Complex _Imaginary".split()
@@ -36,4 +37,4 @@ def _run(sources: pd.Series) -> pd.Series:
 
 def c_tokens(source: Column) -> Column:
     """An array of (pos, kind, text) to explode."""
-    return F.pandas_udf(_run, "array<struct<pos:int,kind:string,text:string>>")(source)
+    return arrow_udf(_run, "array<struct<pos:int,kind:string,text:string>>")(source)

@@ -6,9 +6,10 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from inkwell.functions.udf import arrow_udf
+
 #: Lovins (1968), appendix A, by length: endings under their condition.
 _ENDINGS = """
 11 B alistically izationally A arizability
@@ -159,7 +160,7 @@ def _udf(name: str):
     def run(words: pd.Series) -> pd.Series:
         return words.map(STEMMERS[name])
 
-    return F.pandas_udf(run, StringType())
+    return arrow_udf(run, StringType())
 
 
 def stem_terms(terms: DataFrame, stemmer: str) -> DataFrame:

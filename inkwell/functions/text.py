@@ -44,7 +44,7 @@ def collapsed(text: Column) -> Column:
 
 def split_fields(line: Column) -> Column:
     """^-separated fields; adjacent separators make empty fields, blanks at ends of fields go."""
-    return F.transform(F.split(line, "\\^", -1), F.rtrim)
+    return F.transform(F.split(line, "\\^", -1), lambda x: F.rtrim(x))
 
 
 def common_prefix(a: Column, b: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from inkwell.functions.udf import arrow_udf
+
 UNSAFE = '%<>"{}|\\^[]`'
 
 
@@ -42,7 +44,7 @@ def _joined(base, link):
 
 def joined(base: Column, link: Column) -> Column:
     """The link as seen from base, with dot segments resolved."""
-    return F.pandas_udf(_joined, StringType())(base, link)
+    return arrow_udf(_joined, StringType())(base, link)
 
 
 def _relative(base, link):
@@ -63,4 +65,4 @@ def _relative(base, link):
 
 def relative(base: Column, link: Column) -> Column:
     """An absolute link on the same host, as seen from base; others stay."""
-    return F.pandas_udf(_relative, StringType())(base, link)
+    return arrow_udf(_relative, StringType())(base, link)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from inkwell.functions.text import basename
+from inkwell.functions.udf import arrow_udf
 
 META = ("keywords", "author", "description", "copyright", "date", "robots")
 
@@ -35,13 +36,6 @@ class Filters:
     def __init__(self, table: dict[str, Filter] | None = None):
         self.table = {"gz": lambda c: c, "html": html_text, "htm": html_text, "txt": lambda c: c, **(table or {})}
 
-    def resolve(self, name: str) -> Filter | None:
-        parts = name.lower().split(".")[1:]
-        for k in range(len(parts)):
-            if (f := self.table.get(".".join(parts[k:]))) is not None:
-                return f if k == len(parts) - 1 or len(parts) - k == 1 else f
-        return None
-
     def chain(self, name: str) -> list[Filter]:
         """The filters to apply, first to last."""
         parts = name.lower().split(".")[1:]
@@ -147,7 +141,7 @@ def _texts(glue: str):
 
 def html_text(html: Column, glue: str = "space") -> Column:
     """A page's text with its title, without scripts, styles and comments."""
-    return F.pandas_udf(_texts(glue), StringType())(html)
+    return arrow_udf(_texts(glue), StringType())(html)
 
 
 def stripped(html: Column) -> Column:

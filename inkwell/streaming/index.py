@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from inkwell.functions.text import tokenize
+from inkwell.functions.udf import ship
 from inkwell.operators import locks
 
 
@@ -49,4 +50,5 @@ def _advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> It
 def stream_replay(log: DataFrame) -> DataFrame:
     """operators.locks.replay over a stream: a lock's queue is state by lockable. Within a batch requests go by seq;
     batches must come in order."""
+    ship(log.sparkSession)
     return log.groupBy("lockable").applyInPandasWithState(_advance, locks.OUT, "lock binary", "append", GroupStateTimeout.NoTimeout)
