@@ -100,11 +100,12 @@ ORACLE = "WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document comes as many times as the mix takes it, to the nearest whole copy (0, 1 or 2)."""
+    """Pipeline stage: each document comes as many times as the mix takes it, to the nearest whole copy (0, 1 or 2);
+    one without words not at all."""
     kept = docs.select("*", F.struct(*[F.col(c) for c in docs.columns]).alias("_ink_row")).select("_ink_row")
     sized = kept.select(F.col("_ink_row.doc_id").alias("doc_id"), F.col("_ink_row.source").alias("source"), F.col("_ink_row.text").alias("text"))
     plan = mix(spark, sized)
-    copies = plan.groupBy(F.col("doc_id").alias("_ink_id"), F.col("size").alias("_ink_size")).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_ink_n"))
+    copies = plan.groupBy(F.col("doc_id").alias("_ink_id"), F.col("size").alias("_ink_size")).agg(F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias("_ink_n"))
     rows = docs.withColumn("_ink_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     out = rows.join(copies, rows["doc_id"].eqNullSafe(copies["_ink_id"]) & (rows["_ink_words"] == copies["_ink_size"]))
     return out.where("_ink_n > 0").withColumn("_ink_copy", F.explode(F.sequence(F.lit(1), F.col("_ink_n")))).select(*docs.columns)
