@@ -26,7 +26,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.shared import table
+from inkwell.llm.shared import table, written
 from inkwell.llm.templates import TEMPLATES
 
 DICE = 0.8
@@ -148,7 +148,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     blob = F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob_id")
     found = scan(spark, docs.select(blob, "text"))
     listed = F.sort_array(F.collect_list(F.struct("licence", "unit", "dice"))).alias("found")  # a licence once: bounded by the templates
-    out = docs.select("doc_id", blob).join(found.groupBy("blob_id").agg(listed), "blob_id", "left")
+    found = written(spark, found.groupBy("blob_id").agg(listed), "licences")  # so that the join back stands alone, and a text of many copies can be split in it
+    out = docs.select("doc_id", blob).join(found, "blob_id", "left")
     join = lambda f: F.coalesce(F.array_join(F.transform("found", f), ","), F.lit(""))
     return out.select(
         "doc_id",
