@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.shared import table
+from inkwell.llm.shared import table, written
 
 RULE_VERSION = "2"
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -76,7 +76,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     paths = docs.select("doc_id", blob_id(F.col("text")).alias("blob_id"))
     found, _ = scan(docs.select(blob_id(F.col("text")).alias("blob_id"), "text"))
-    out = paths.join(digest(found), "blob_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,ord:int,kind:string,stop:bigint>>")))
+    found = written(spark, digest(found), "findings")  # so that the join back stands alone, and a blob of many paths can be split in it
+    out = paths.join(found, "blob_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,ord:int,kind:string,stop:bigint>>")))
     n = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["ord"] < len(BASE))
     return out.select("doc_id", *[n(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
@@ -102,7 +103,7 @@ ORACLE = _oracle()
 MARK = "[redacted]"
 
 
-def redacted(docs: DataFrame) -> DataFrame:
+def redacted(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with every finding in text replaced by MARK; overlapping findings are one. Other columns and rows stay."""
     keyed = docs.withColumn("_ink_blob", blob_id(F.col("text")))
     found, _ = scan(keyed.select(F.col("_ink_blob").alias("blob_id"), "text"))
@@ -110,6 +111,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     cut = found.withColumn("kept_from", F.coalesce(F.max("stop").over(before), F.lit(0).cast("long"))).where("stop > kept_from")
     piece = F.struct("kept_from", F.when(F.col("start") >= F.col("kept_from"), F.col("start") - F.col("kept_from")).otherwise(-1).alias("n"), "stop")
     cuts = cut.groupBy(F.col("blob_id").alias("_ink_b")).agg(F.sort_array(F.collect_list(piece)).alias("_ink_cuts"))
+    cuts = written(spark, cuts, "cuts")
     t, c = F.col("text"), F.col("_ink_cuts")
     sub = lambda a, n: F.substring(t, a.cast("int") + 1, n.cast("int"))
     head = F.array_join(F.transform(c, lambda x: F.when(x["n"] >= 0, F.concat(sub(x["kept_from"], x["n"]), F.lit(MARK))).otherwise(F.lit(""))), "")
@@ -119,4 +121,4 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: secrets are replaced in the texts; every document stays."""
-    return redacted(docs)
+    return redacted(spark, docs)
