@@ -209,9 +209,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def spans(spark: SparkSession, docs: DataFrame, hot: int = HOT, task_bytes: int = TASK_BYTES) -> DataFrame:
     """(nid, tid, lo, hi): stretches of bytes to remove, overlaps and all. docs: (nid, tid, text)."""
     found = docs.mapInArrow(_runs, RUNS)
-    shared = found.groupBy("gram").count().where("count > 1").select("gram")
-    twice = found.where(F.col("at").bitwiseAND(1) == 1).select("gram")
-    named = written(spark, shared.union(twice).distinct(), "grams")
+    grams = found.groupBy("gram").agg(F.count("*").alias("runs"), F.max(F.col("at").bitwiseAND(1)).alias("twice"))
+    named = written(spark, grams.where("runs > 1 or twice = 1").select("gram"), "grams")
     release(spark)
     met = written(spark, found.join(named, "gram", "left_semi"), "runs")
     forget(spark, named)
