@@ -7,9 +7,11 @@ documents, picks the word. Other tokens have one path through their lattice and
 once a distinct token and kept in a bounded cache; it depends on the token alone.
 
 The scorer is fitted on a bounded sample of labelled rows, POSITIVES and NEGATIVES at most, chosen by hash, none of
-them held out. Words and their beginnings (4 to 6 letters) get the lower bound of their log-odds of label 1 on two
-thirds of the sample; on the other third a logistic function of a text's strongest evidence is calibrated, with the
-classes weighed back to their true shares. Only text enters a score.
+them held out. Words and their beginnings (4 to 6 letters) get the lower bound of their log-odds of label 1; then,
+twice, a text of label 1 counts for its strongest words alone (NEAR the best), so that what merely stands beside them
+loses its weight. Weights of two thirds of the sample give the evidence on which, in the other third, a logistic
+function of a text's strongest words, their sum and the text's length is calibrated, with the classes weighed back to
+their true shares; it is used with the weights of the whole sample. Only text enters a score.
 
 Defined cases: null and empty texts get the score of no evidence; a null doc_id counts as '' for the split; repeated
 rows score alike; with no usable labels every score is the share of label 1 (0 without labels); texts are read whole;
@@ -30,12 +32,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from inkwell.llm.shared import ship, table
+from inkwell.llm.shared import ship, table, written
 
 POSITIVES, NEGATIVES, FEATURES = 6_000, 12_000, 20_000
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 PREFIXES = (4, 5, 6)
+SURE, LEAST, ROUNDS, NEAR = 1.5, 0.3, 2, 0.75
 CACHE = 200_000
+NO_FIT = [0.0] * 5
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "¡": "i", "*": "aeiou", "#": "aeiou"}
@@ -153,23 +157,23 @@ class Scorer(Reader):
         super().__init__(chars)
         self.weights, self.fit, self.best = weights, fit, {}
 
-    def evidence(self, text: str | None) -> tuple[float, float]:
-        """The strongest weight and the sum of the three strongest, of different words' best features."""
-        get, top = self.weights.get, {}
-        for w in self.of(text):
+    def evidence(self, text: str | None) -> tuple[float, ...]:
+        """The strongest weight, the sum of the three strongest and the logarithm of all (of different words' best
+        features), and the logarithm of how many different words there are."""
+        get, top, words = self.weights.get, [], self.of(text)
+        for w in words:
             if (x := self.best.get(w)) is None:
-                x = max(((get(f, 0.0), f) for f in features(w)), default=(0.0, ""))
+                x = max((get(f, 0.0) for f in features(w)), default=0.0)
                 if len(self.best) > CACHE:
                     self.best = {}
                 self.best[w] = x
-            if x[0] > 0:
-                top[w] = x[0]
-        three = sorted(top.values())[-3:]
-        return (three[-1], sum(three)) if three else (0.0, 0.0)
+            if x > 0:
+                top.append(x)
+        top.sort()
+        return (top[-1] if top else 0.0, sum(top[-3:]), math.log1p(sum(top)), math.log1p(len(words)) if top else 0.0)
 
     def score(self, text: str | None) -> float:
-        a, b = self.evidence(text)
-        z = self.fit[0] + self.fit[1] * a + self.fit[2] * b
+        z = self.fit[0] + sum(b * x for b, x in zip(self.fit[1:], self.evidence(text), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -192,19 +196,33 @@ def _count(chars):
         for b in batches:
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 n[label].update({f for w in reader.of(text) for f in features(w)})
-        keys = [k for k in n[1] if n[1][k]]  # evidence for label 1 needs rows of label 1; their counts under 0 come below
-        keys += [k for k in n[0] if k not in n[1]]
+        keys = list(n[0] | n[1])
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([n[1][k] for k in keys], pa.int64()), pa.array([n[0][k] for k in keys], pa.int64())], ["f", "pos", "neg"])
 
     return run
 
 
+def _credit(scorer):
+    """Of each text the features of its best words: what merely stands beside stronger words gets no credit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, n = scorer.value, Counter()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                found = {w: max(s.weights.get(f, 0.0) for f in features(w)) for w in s.of(text)}
+                least = NEAR * max(found.values(), default=0.0)
+                n.update({f for w, x in found.items() if x > 0 and x >= least for f in features(w) if f in s.weights})
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["f", "pos"])
+
+    return run
+
+
 def _weigh(scorer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scorer.value
         for b in batches:
             x = [s.evidence(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in x], pa.float64()), pa.array([c for _, c in x], pa.float64()), b.column(1)], ["a", "b", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], ["x", "label"])
 
     return run
 
@@ -222,6 +240,27 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) ->
     return beta.tolist()
 
 
+def odds(pos: float, neg: float, k1: float, k0: float) -> float:
+    """The lower bound of a feature's log-odds of label 1."""
+    return math.log((pos + 0.5) / (k1 + 1)) - math.log((neg + 0.5) / (k0 + 1)) - SURE * math.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+
+
+def weighed(spark: SparkSession, chars: CharModel, text: DataFrame) -> dict[str, float]:
+    """Weights of the features of text (text, label), at most FEATURES."""
+    sc = spark.sparkContext
+    n = {r["label"]: r["count"] for r in text.groupBy("label").count().collect()}
+    k1, k0 = n.get(1, 0), n.get(0, 0)
+    counted = text.select("text", "label").mapInArrow(_count(sc.broadcast(chars)), "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    p, q = F.col("pos") + 0.5, F.col("neg") + 0.5
+    w = F.ln(p / (k1 + 1)) - F.ln(q / (k0 + 1)) - SURE * F.sqrt(1 / p + 1 / q)
+    rows = counted.where("pos >= 2").withColumn("w", w).where(F.col("w") > LEAST).orderBy(F.desc("w"), "f").limit(FEATURES).collect()
+    weights, neg = {r["f"]: r["w"] for r in rows}, {r["f"]: r["neg"] for r in rows}
+    for _ in range(ROUNDS):
+        own = text.where("label = 1").select("text").mapInArrow(_credit(sc.broadcast(Scorer(chars, weights, NO_FIT))), "f string, pos long").groupBy("f").agg(F.sum("pos").alias("pos")).collect()
+        weights = {r["f"]: x for r in own if r["pos"] >= 2 and (x := odds(r["pos"], neg[r["f"]], k1, k0)) > LEAST}
+    return weights
+
+
 def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Scorer:
     ship(spark)
     chars = char_model(docs)
@@ -230,23 +269,19 @@ def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Scorer:
     n1, n0 = rate.get(1, 0), rate.get(0, 0)
     share = n1 / max(1, n1 + n0)
     if not n1 or not n0:
-        return Scorer(chars, {}, [math.log(max(share, 1e-6) / max(1 - share, 1e-6)), 0, 0])
+        return Scorer(chars, {}, [math.log(max(share, 1e-6) / max(1 - share, 1e-6)), *NO_FIT[1:]])
     h = F.xxhash64(F.lit("toxicity"), "doc_id")
     part = lambda y, most: own.where(F.col("label") == y).orderBy(h, "doc_id").limit(most)
     sample = part(1, POSITIVES).union(part(0, NEGATIVES)).withColumn("side", F.pmod(h, F.lit(3)))
-    text = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded by POSITIVES + NEGATIVES
-    sc = spark.sparkContext
-    counted = text.where("side <> 0").select("text", "label").mapInArrow(_count(sc.broadcast(chars)), "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    k1, k0 = min(n1, POSITIVES) * 2 / 3, min(n0, NEGATIVES) * 2 / 3
-    odds = F.ln((F.col("pos") + 0.5) / (k1 + 1)) - F.ln((F.col("neg") + 0.5) / (k0 + 1)) - 1.5 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    rows = counted.where("pos >= 2").select("f", odds.alias("w")).where("w > 0.3").orderBy(F.desc("w"), "f").limit(FEATURES).collect()
-    weights = {r["f"]: r["w"] for r in rows}
-    seen = text.where("side = 0").select("text", "label").mapInArrow(_weigh(sc.broadcast(Scorer(chars, weights, [0, 0, 0]))), "a double, b double, label int").toPandas()
+    text = written(spark, docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label", "side"), "sample")  # bounded by POSITIVES + NEGATIVES
+    half = Scorer(chars, weighed(spark, chars, text.where("side <> 0")), NO_FIT)
+    seen = text.where("side = 0").select("text", "label").mapInArrow(_weigh(spark.sparkContext.broadcast(half)), "x array<double>, label int").toPandas()
+    weights = weighed(spark, chars, text)
     y = seen["label"].to_numpy(float)
     if not 0 < y.sum() < len(y):
-        return Scorer(chars, weights, [math.log(share / (1 - share)) - 2, 1.0, 0.0])
+        return Scorer(chars, weights, [math.log(share / (1 - share)) - 2, 1.0, *NO_FIT[2:]])
     w = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
-    return Scorer(chars, weights, logistic(seen[["a", "b"]].to_numpy(), y, w))
+    return Scorer(chars, weights, logistic(np.array(seen["x"].tolist()), y, w))
 
 
 def scorer_udf(spark: SparkSession, scorer: Scorer):
