@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType
 
 from inkwell.functions.udf import arrow_udf
 
-#: Lovins (1968), appendix A, by length: endings under their condition.
+#: Fixed values, Lovins (1968), appendix A, by length: endings under their condition.
 _ENDINGS = """
 11 B alistically izationally A arizability
 10 A antialness arisations arizations entialness

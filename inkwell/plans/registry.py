@@ -645,12 +645,13 @@ def links_accept(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {LINK}, {FULL}, edges AS (SELECT DISTINCT f.page_id AS src, p.page_id AS dst FROM full_links f JOIN pages p ON p.url = f.target),
-    walk(node, depth) AS (SELECT page_id, 0 FROM pages WHERE page_id < 20 UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = node WHERE depth < 4)
+    walk(node, depth) AS (SELECT page_id, 0 FROM pages WHERE page_id NOT IN (SELECT dst FROM edges WHERE src <> dst) UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = node WHERE depth < 4)
     SELECT node, min(depth) AS depth FROM walk GROUP BY node""")
 def crawl_reach(spark, sf_dir):
     p = pages(spark, sf_dir).select(F.col("page_id").alias("dst"), F.col("url").alias("target"))
     edges = _anchors(spark, sf_dir).join(p, "target").select(F.col("page_id").alias("src"), "dst").distinct()
-    return crawl.reachable(edges, pages(spark, sf_dir).where("page_id < 20").select(F.col("page_id").alias("node")), 4)
+    roots = pages(spark, sf_dir).join(edges.where("src <> dst").select(F.col("dst").alias("page_id")), "page_id", "left_anti")
+    return crawl.reachable(edges, roots.select(F.col("page_id").alias("node")), 4)
 
 
 # locks
