@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.functions import codec, text, urls, weights
+from inkwell.functions import codec, ctokens, text, urls, weights
 from inkwell.functions.stem import stem_terms
 from inkwell.operators import index as ix
 from inkwell.operators import locks, paging, search, sets
@@ -654,6 +654,58 @@ def crawl_reach(spark, sf_dir):
     return crawl.reachable(edges, roots.select(F.col("page_id").alias("node")), 4)
 
 
+ROBOTS = """User-agent: *
+Disallow: /es/
+Disallow: /en/1
+
+User-agent: other
+Disallow: /
+"""
+HOST, PATH = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)', 1))", "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+
+@query(f"""WITH u AS (SELECT page_id, upper(substr(url, 1, 4)) || substr(url, 5) AS raw FROM pages), c AS (SELECT page_id, regexp_replace(raw, '#.*$', '') AS url FROM u),
+    h AS (SELECT page_id, url, {ORIGIN} AS head FROM c) SELECT page_id, regexp_replace(lower(head), '^(http://[^/]*):80$', '\\1') || coalesce(nullif(substr(url, length(head) + 1), ''), '/') AS url FROM h""")
+def url_canonical(spark, sf_dir):
+    raw = F.concat(F.upper(F.substring("url", 1, 4)), F.substr("url", F.lit(5)))
+    return pages(spark, sf_dir).select("page_id", crawl.canonical(raw).alias("url"))
+
+
+@query(f"WITH {LINK}, {FULL} SELECT page_id, target FROM full_links WHERE starts_with({PATH.replace('url', 'target')}, '/en')")
+def links_below(spark, sf_dir):
+    return _anchors(spark, sf_dir).where(crawl.below(F.col("target"), "/en")).select("page_id", "target")
+
+
+@query(f"SELECT page_id, url FROM pages WHERE NOT starts_with({PATH}, '/es/') AND NOT starts_with({PATH}, '/en/1')")
+def robots_allowed(spark, sf_dir):
+    return pages(spark, sf_dir).where(crawl.allowed(F.col("url"), crawl.robots_rules(ROBOTS))).select("page_id", "url")
+
+
+@query(f"""SELECT page_id FROM (SELECT page_id, coalesce(sum(strlen(html)) OVER (PARTITION BY {HOST} ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pages) WHERE before < 20000""")
+def crawl_quota(spark, sf_dir):
+    return crawl.within_quota(pages(spark, sf_dir), 20_000).select("page_id")
+
+
+@query("SELECT page_id, md5(html) AS digest FROM pages")
+def page_digest(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", F.md5("html").alias("digest"))
+
+
+@query()
+def links_all_kinds(spark, sf_dir):
+    """Every kind of link, made absolute with dot segments resolved, and as it would be written beside its page."""
+    found = crawl.links(pages(spark, sf_dir)).withColumn("target", urls.joined(F.col("url"), F.col("link")))
+    return found.withColumn("beside", urls.relative(F.col("url"), F.col("target")))
+
+
+@query()
+def c_token_kinds(spark, sf_dir):
+    """C tokens of the pages' scripts and styles."""
+    source = F.explode(F.regexp_extract_all("html", F.lit("(?is)<(?:script|style)[^>]*>(.*?)</"), F.lit(1))).alias("source")
+    rows = pages(spark, sf_dir).select("page_id", source).select("page_id", F.explode(ctokens.c_tokens(F.col("source"))).alias("t"))
+    return rows.groupBy("page_id", F.col("t.kind").alias("kind")).agg(F.count("*").alias("n"))
+
+
 # locks
 
 _C = ", ".join(f"('{a}', '{b}', {str(v).lower()})" for (a, b), v in locks.COMPATIBLE.items())
