@@ -7,9 +7,10 @@ looked for. Bigrams count with their repeats, so a unit of m bigrams and a templ
 
 Two prunings, neither of which loses a match. Size bounds: only m from b t / (2 - t) to b (2 - t) / t can reach the
 threshold t, so most pairs are never compared. Probes: a match lacks at most b - t (m + b) / 2 of the template's
-bigrams, so it holds one of any set of one more; such a set, of rare words, is picked for every template once, and only
-units that hold a probe of a template of their size go on. Templates and probes are broadcast: they are constants of
-the program. Units that go on are counted once per text, however many documents hold it, and verified exactly.
+bigrams, so it holds one of any set of one more; such a set, of rare words, is picked for every template once. Texts
+are cut into units only if their words hold a probe, each text once however many documents have it, and units are
+verified exactly only if they hold a probe of a template of their size. Templates and probes are broadcast: they are
+constants of the program.
 
 Of each unit the best template counts (ties: the first listed), of each licence its best unit.
 
@@ -122,11 +123,26 @@ def bigrams(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(pairs).alias("g")).select(*keep, F.col("g.a").alias("a"), F.col("g.b").alias("b"))
 
 
+def with_probes(texts: DataFrame, probes: DataFrame) -> DataFrame:
+    """(blob_id, text) of distinct texts whose words hold a probe (a, b) side by side, as those of any matching unit do.
+    lower() leaves ASCII words and the bounds of all words as they are; spellings are all in the probes."""
+    words = F.split(F.lower("text"), r"[^a-z0-9\x{80}-\x{10FFFF}]+")
+    found = bigrams(texts.where("text is not null").select("blob_id", "text", words.alias("words")), "blob_id", "text").join(probes, ["a", "b"])
+    return found.groupBy("blob_id").agg(F.first("text").alias("text"))
+
+
+def spellings(a: str, b: str) -> set[tuple[str, str]]:
+    both = lambda w: {w, w.replace("license", "licence")}
+    return {(x, y) for x in both(a) for y in both(b)}
+
+
 def scan(spark: SparkSession, texts: DataFrame, templates: Templates | None = None) -> DataFrame:
     """(blob_id, licence, unit, dice), each licence's best unit, of texts (blob_id, text); copies are counted once."""
     t = templates or Templates()
     probes = [(k, *t.bounds[k], a, b) for k in range(len(t.names)) for a, b in t.probes(k)]
     grams = [(k, a, b, n, t.sizes[k], t.names[k]) for k, g in enumerate(t.grams) for (a, b), n in g.items()]
+    spelt = sorted({x for *_, a, b in probes for x in spellings(a, b)})
+    texts = with_probes(texts, F.broadcast(spark.createDataFrame(spelt, "a string, b string")))
     probes = F.broadcast(spark.createDataFrame(probes, "template int, lo int, hi int, a string, b string"))
     grams = F.broadcast(spark.createDataFrame(grams, "template int, a string, b string, n int, size int, licence string"))
     key = ["blob_id", "kind", "at", "part"]
