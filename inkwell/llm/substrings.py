@@ -40,7 +40,7 @@ LENGTH, GRAM = 100, 24
 PIECE, CHUNK = 1 << 20, 1 << 20
 MOST = 1024  # windows of a run
 HOT = 20_000  # classes of a gram in one task
-TASK_BYTES = 3 << 20
+TASK_BYTES = 3 << 19
 NO_ID = 2**63 - 1
 
 
