@@ -2,8 +2,8 @@
 
 Normalised: A-Z in lower case, `licence` spelt `license`, words of a-z, 0-9 and non-ASCII characters. What is compared
 to a template is a unit of a text: the whole (t), each paragraph of several lines (p1, p2, ..), each line (l1, ..) and,
-in lines of several sentences, each sentence (s1.1, ..); wording that does not stand alone in one of these is not
-looked for. Bigrams count with their repeats, so a unit of m bigrams and a template of b have 2 overlap / (m + b).
+in lines of several sentences, each sentence (s1.1, ..); and, for licences that none of these shows, each run of two or
+more neighbouring paragraphs (r2-4, ..). Wording that does not stand alone in one of these is not looked for. Bigrams count with their repeats, so a unit of m bigrams and a template of b have 2 overlap / (m + b).
 
 Two prunings, neither of which loses a match. Size bounds: only m from b t / (2 - t) to b (2 - t) / t can reach the
 threshold t, so most pairs are never compared. Probes: a match lacks at most b - t (m + b) / 2 of the template's
@@ -12,7 +12,9 @@ are cut into units only if their words hold a probe, each text once however many
 verified exactly only if they hold a probe of a template of their size. Templates and probes are broadcast: they are
 constants of the program.
 
-Of each unit the best template counts (ties: the first listed), of each licence its best unit.
+Of each unit the best template counts (ties: the first listed), of each licence its best unit. Runs are not spelt out:
+a text's bigrams of a template are gathered once, and only runs whose first and last paragraph touch one of them (others
+can be trimmed to a better unit) and that hold enough of them are verified. Of runs that overlap the best one counts.
 
 Defined cases: null and empty texts have no findings; a null or repeated doc_id keeps its rows, one a row of the table;
 texts are scanned whole; an empty table gives no rows; no templates give no findings; other columns are ignored.
@@ -24,7 +26,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.shared import table, written
@@ -131,6 +133,35 @@ def with_probes(texts: DataFrame, probes: DataFrame) -> DataFrame:
     return found.groupBy("blob_id").agg(F.first("text").alias("text"))
 
 
+def runs(texts: DataFrame, grams: DataFrame, dice: float) -> DataFrame:
+    """(blob_id, licence, unit, dice) of runs of paragraphs of texts (blob_id, text): each licence's best run, and none
+    that overlaps a better one. Offsets are in words; a bigram between two paragraphs is of both."""
+    paragraphs = texts.select("blob_id", F.split(normalised(F.col("text")), PARAGRAPH).alias("ps")).where(F.size("ps") > 1).select("blob_id", F.posexplode("ps").alias("i", "p"))
+    cut = paragraphs.select("blob_id", (F.col("i") + 1).alias("at"), F.split(F.trim(F.translate("p", "\n" + MARK, "  ")), " +").alias("words")).where("words[0] <> ''")
+    order = Window.partitionBy("blob_id").orderBy("at")  # one text
+    cut = cut.withColumn("to", F.sum(F.size("words")).over(order)).withColumn("from", F.col("to") - F.size("words"))
+    before = F.lag(F.struct("from", "at", F.element_at("words", -1).alias("last"))).over(order)
+    cut = cut.withColumn("prev", before).withColumn("all", F.expr("if(prev is null, words, concat(array(prev.last), words))"))
+    pairs = F.arrays_zip(F.slice("all", 1, F.size("all") - 1).alias("a"), F.slice("all", 2, F.size("all") - 1).alias("b"))
+    first = "if(j = 0 and prev is not null, prev.{0}, {0}) as {1}"
+    pair = cut.select("blob_id", "prev", "at", "from", "to", F.posexplode(pairs).alias("j", "g"))
+    pair = pair.selectExpr("blob_id", "g.a", "g.b", "`from` + j + if(prev is null, 1, 0) as q", first.format("`from`", "s").replace("prev.`from`", "prev.from"), first.format("at", "sp"), "`to` as e", "at as ep")
+    hits = pair.join(grams.withColumn("g", F.xxhash64("a", "b")), ["a", "b"]).groupBy("blob_id", "template", "size", "licence").agg(F.collect_list(F.struct("q", "g", "n", "s", "sp", "e", "ep")).alias("hits"))  # of one text
+    need = f"({dice} * ({{}} + size) / 2 - 1e-9)"
+    least, most = f"ceil(size * {dice} / (2 - {dice}) - 1e-9)", f"floor(size * (2 - {dice}) / {dice} + 1e-9)"
+    held = hits.where("aggregate(array_distinct(transform(hits, h -> struct(h.g, h.n))), 0, (x, h) -> x + h.n) >= " + need.format(least))
+    found = held.withColumn("starts", F.expr("array_distinct(transform(hits, h -> struct(h.s as s, h.sp as sp)))")).withColumn("ends", F.expr("array_distinct(transform(hits, h -> struct(h.e as e, h.ep as ep)))"))
+    found = found.withColumn("r", F.expr(f"explode(flatten(transform(starts, s -> transform(filter(ends, e -> e.ep > s.sp and e.e - s.s - 1 between {least} and {most}), e -> struct(s.s as s, s.sp as sp, e.e as e, e.ep as ep)))))"))
+    found = found.withColumn("m", F.expr("r.e - r.s - 1")).withColumn("own", F.expr("filter(hits, h -> h.q > r.s and h.q < r.e)")).where("size(own) >= " + need.format("m"))
+    shared = "aggregate(array_distinct(transform(own, h -> struct(h.g, h.n))), 0, (x, k) -> x + least(k.n, size(filter(own, h -> h.g = k.g))))"
+    scored = found.select("blob_id", "template", "licence", "r", F.expr(f"2 * {shared} / (m + size)").alias("dice")).where(F.col("dice") >= dice - 1e-12)
+    best = scored.groupBy("blob_id", "r").agg(F.min(F.struct((-F.col("dice")).alias("d"), "template", "licence")).alias("t"))
+    top = best.groupBy("blob_id", F.col("t.licence").alias("licence")).agg(F.min(F.struct(F.col("t.d").alias("d"), F.col("r.sp").alias("sp"), F.col("r.ep").alias("ep"))).alias("u"))
+    listed = top.groupBy("blob_id").agg(F.sort_array(F.collect_list(F.struct("u", "licence"))).alias("l"))  # bounded by the templates
+    apart = listed.select("blob_id", F.explode(F.expr("aggregate(l, slice(l, 1, 0), (kept, x) -> if(exists(kept, k -> k.u.sp <= x.u.ep and x.u.sp <= k.u.ep), kept, concat(kept, array(x))))")).alias("x"))
+    return apart.select("blob_id", "x.licence", F.expr("concat('r', x.u.sp, '-', x.u.ep)").alias("unit"), (-F.col("x.u.d")).alias("dice"))
+
+
 def spellings(a: str, b: str) -> set[tuple[str, str]]:
     both = lambda w: {w, w.replace("license", "licence")}
     return {(x, y) for x in both(a) for y in both(b)}
@@ -156,7 +187,8 @@ def scan(spark: SparkSession, texts: DataFrame, templates: Templates | None = No
     order = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.col("kind"))
     top = best.groupBy("blob_id", F.col("best.licence").alias("licence")).agg(F.min(F.struct(F.col("best.d").alias("d"), order.alias("o"), "at", "part", "kind")).alias("u"))
     name = F.concat(F.col("u.kind"), F.when(F.col("u.kind") == "t", "").otherwise(F.col("u.at").cast("string")), F.when(F.col("u.kind") == "s", F.concat(F.lit("."), F.col("u.part"))).otherwise(""))
-    return top.select("blob_id", "licence", name.alias("unit"), (-F.col("u.d")).alias("dice"))
+    alone = written(spark, top.select("blob_id", "licence", name.alias("unit"), (-F.col("u.d")).alias("dice")), "units")
+    return alone.union(runs(texts, grams, t.dice).join(alone, ["blob_id", "licence"], "left_anti"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

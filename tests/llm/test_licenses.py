@@ -94,3 +94,27 @@ def test_probes_and_bounds_lose_nothing(dice):
         assert 2 * (lo - 1) / (lo - 1 + b) < dice <= 2 * lo / (lo + b) + 1e-9 and 2 * b / (hi + 1 + b) < dice <= 2 * b / (hi + b) + 1e-9
         rest = b - sum(g[p] for p in t.probes(k))
         assert all(2 * min(m, rest) / (m + b) < dice for m in range(lo, hi + 1))
+
+
+W = MIT.split()
+NOTICE = [" ".join(W[:60]), " ".join(W[60:100]), " ".join(W[100:])]
+
+
+def wrapped(mark=""):
+    """Three paragraphs in lines of 10 words, with mark before each line."""
+    return f"\n{mark}\n".join("\n".join(f"{mark} " + " ".join(p.split()[k : k + 10]) for k in range(0, len(p.split()), 10)) for p in NOTICE)
+
+
+def test_licences_of_several_paragraphs(spark, folder):
+    """A notice of three paragraphs in a long text; no single paragraph reaches the threshold, nor does the whole."""
+    long = prose(8, 3_000)
+    apache = next(t for n, t in TEMPLATES if n == "Apache-2.0" and len(t.split()) > 60).split()
+    bsd = next(t for n, t in TEMPLATES if n == "BSD-3-Clause").split()
+    texts = [wrapped() + "\n\n" + long, f"/*\n{wrapped(' *')}\n */\n{long}", f"{long}\n\n{wrapped('#')}\n\n{long}", long + "\n\n" + " ".join(apache[:45]) + "\n\n" + " ".join(apache[45:]),
+             "\n\n".join(" ".join(bsd[k : k + 40]) for k in range(0, len(bsd), 40)) + "\n\n" + long, wrapped() + "\n\n" + long + "\n\n" + "Licensed under CC0 1.0."]
+    rows = [*enumerate(texts), (10, "\n\n".join(NOTICE[:1]) + "\n\n" + long), (11, "\n\n".join([NOTICE[0], long, *NOTICE[1:]])), (12, "of the\n\n" * 3_000 + long), (0, texts[0]), (None, texts[0])]
+    got = {(r["doc_id"], r["findings"]) for r in licenses.op8_license_scan(spark, folder(documents=documents(rows))).collect()}
+    full = "MIT:r{}:1.0000".format
+    want = {(0, full("1-3")), (None, full("1-3")), (1, full("1-3")), (2, full("2-4")), (3, "Apache-2.0:s3.1:0.8750"), (4, "BSD-3-Clause:r1-6:1.0000"), (5, "CC0-1.0:l{}:1.0000,MIT:r1-3:1.0000"), (10, ""), (11, ""), (12, "")}
+    assert got == {(k, f.replace("{}", str(texts[5].count("\n") + 1))) for k, f in want}
+    assert not any(expected(texts[k]) for k in (0, 1, 2, 4))
