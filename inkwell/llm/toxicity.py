@@ -3,7 +3,8 @@
 A token with digits or signs among letters, a letter three times in a row, or single letters strung together by
 signs or spaces is a lattice of characters: each sign stands for the letters it is used for (or for nothing), each
 run for one or two letters. Viterbi decoding under an interpolated character trigram model, counted over all
-documents, picks the word. Other tokens have one path through their lattice and stay as they are. Decoding is done
+documents, picks the word. Letters strung together may be several words: they are read as one and, with word ends allowed
+at the gaps at each cost of ENDS, as what the model makes of them; gaps wider than a space end words too. Other tokens have one path through their lattice and stay as they are. Decoding is done
 once a distinct token and kept in a bounded cache; it depends on the token alone.
 
 The scorer is fitted on a bounded sample of labelled rows, POSITIVES and NEGATIVES at most, chosen by hash, none of
@@ -38,6 +39,7 @@ POSITIVES, NEGATIVES, FEATURES = 6_000, 12_000, 20_000
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 PREFIXES = (4, 5, 6)
 SURE, LEAST, ROUNDS, NEAR = 1.5, 0.3, 2, 0.75
+ENDS = (0.0, 3.0)
 CACHE = 200_000
 NO_FIT = [0.0] * 5
 
@@ -47,6 +49,7 @@ GAPS = set(".-_*~'·:,")
 _S = re.escape("".join(k for k in SIGNS if not k.isdigit()))
 DISGUISED = re.compile(rf"[^\W\d_][\d{_S}]+[^\W\d_]|(?:^|\W)[\d{_S}][^\W\d_]|[^\W\d_][\d$@]$|([^\W\d_])\1\1|[^\W_][.\-_*~'·:,][^\W_][.\-_*~'·:,][^\W_]")
 SPACED = re.compile(rf"(?<!\S)(?:[\w{_S}]\s+){{2,}}[\w{_S}](?!\S)")
+STRUNG = re.compile(r"[^\W_][.\-_*~'·:,][^\W_][.\-_*~'·:,][^\W_]")
 CLASSES = 28
 
 
@@ -81,8 +84,8 @@ class CharModel:
         self.cost = -np.log((n3 + 10 * p2) / (n3.sum(2, keepdims=True) + 10))
         self.table = self.cost.tolist()
 
-    def decode(self, token: str) -> str:
-        """The likeliest word behind a lower-case token."""
+    def decode(self, token: str, end: float | None = None) -> str:
+        """The likeliest word behind a lower-case token; words between spaces, if gaps may be word ends at that cost."""
         lattice: list[list[tuple[str, float]]] = []
         k = 0
         while k < len(token):
@@ -91,11 +94,13 @@ class CharModel:
                 run += 1
             if c in SIGNS:
                 ways = [(x, 1.0) for x in SIGNS[c]] + ([("", 2.0)] if c in GAPS or not c.isdigit() else [])
+                if end is not None and c in GAPS:
+                    ways = [*ways, (" ", end)]
                 lattice += [ways] * min(run, 2)
             elif c.isalpha():
                 lattice.append([(c, 0.0), (c + c, 0.5)] if run > 2 else [(c * run, 0.0)])
-            elif c in GAPS:
-                lattice.append([("", 0.0)])
+            elif c in GAPS or c == " ":
+                lattice.append([("", 0.0)] if end is None else [("", 0.0), (" ", end)])
             k += run
         states = {(0, 0): (0.0, "")}
         for ways in lattice:
@@ -113,6 +118,11 @@ class CharModel:
         return min((cost + self.table[a][b][0], word) for (a, b), (cost, word) in states.items())[1]
 
 
+    def read(self, letters: str) -> set[str]:
+        """Words of letters with gaps between them: all as one, and with word ends at gaps."""
+        return {w for end in (None, *ENDS) for w in self.decode(letters, end).split() if len(w) > 2}
+
+
 class Reader:
     """Text to its distinct features, by way of a bounded cache of tokens."""
 
@@ -126,7 +136,7 @@ class Reader:
             plain = [w for w in LETTERS.findall(token) if len(w) > 2]
             if DISGUISED.search(token):
                 bare = token.strip("!?.,;:()[]{}\"'`*%&^~<>|=#")
-                plain += [w for piece in re.split(r"[^\w" + _S + r".\-~'·:,]+", bare) if 3 <= len(piece) <= 64 and (w := self.chars.decode(piece))]
+                plain += [w for piece in re.split(r"[^\w" + _S + r".\-~'·:,]+", bare) if 3 <= len(piece) <= 64 for w in (self.chars.read(piece) if STRUNG.search(piece) else {self.chars.decode(piece)}) if w]
             found = tuple(dict.fromkeys(plain))
             if len(token) <= 64:
                 self.new[token] = found
@@ -136,15 +146,17 @@ class Reader:
 
     def of(self, text: str | None) -> set[str]:
         low = (text or "").lower()
-        tokens = set(low.split())
-        out = {w for t in tokens for w in self.words(t)}
-        if sum(len(t) == 1 for t in tokens) >= 3:
+        tokens = low.split()
+        out = {w for t in set(tokens) for w in self.words(t)}
+        if b"\1\1\1" in bytes(map((1).__eq__, map(len, tokens))):  # single characters, three in a row
             for m in SPACED.finditer(low):
-                joined = "".join(m[0].split())
-                for k in range(0, len(joined), 48):  # windows overlap by more than a word
-                    out.update(w for w in (self.chars.decode(joined[k : k + 64]),) if len(w) > 2)
-                    if k + 64 >= len(joined):
-                        break
+                parts = re.split(r"\s\s+|[^\S ]", m[0])
+                for run in [m[0], *(parts if len(parts) > 1 else [])]:
+                    letters = run.split()
+                    for k in range(0, len(letters), 48):  # windows overlap by more than a word
+                        out |= self.chars.read(" ".join(letters[k : k + 64]))
+                        if k + 64 >= len(letters):
+                            break
         return out
 
 

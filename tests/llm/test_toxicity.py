@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from inkwell.llm import toxicity
@@ -100,3 +101,25 @@ def test_stage(spark, folder):
     kept = {r["doc_id"] for r in out.collect()}
     assert kept >= {k for k in range(4, 300) if k % 5}
     assert len([k for k in range(5, 300, 5) if k in kept]) < 6
+
+
+STRUNG = ["a f i l t h w i t", "v i l e s c u m f i l t h w i t", "s o m e  v i l e s c u m", "x\ny\nr o t t e n h e a d", "i b a v i l e s c u m", "a.f.i.l.t.h.w.i.t"]
+
+
+@pytest.fixture(scope="module")
+def reader():
+    """Characters counted over the rows of corpus()."""
+    counts = np.zeros(toxicity.CLASSES**3, np.int64)
+    for batch in toxicity._trigrams([pa.RecordBatch.from_pydict({"text": [t for _, t in corpus()[0]]})]):
+        np.add.at(counts, batch.column(0).to_numpy(), batch.column(1).to_numpy())
+    return toxicity.Reader(toxicity.CharModel(counts))
+
+
+@pytest.mark.parametrize("text", STRUNG)
+def test_several_words_strung_out(reader, text):
+    bare = "".join(c for c in text if c.isalpha())
+    assert {w for w in BAD if w in bare} <= reader.of(f"{prose(3, 30, 900)} {text} {prose(4, 30, 900)}")
+
+
+def test_single_letters_are_counted_by_occurrence(reader):
+    assert "ass" in reader.of("some a s s here") and not {"aaa", "a a"} & reader.of("a word a word a word")
