@@ -60,6 +60,16 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+TASK_BYTES, MOST_TASKS = 1 << 21, 20_000
+
+
+def dealt_by_bytes(df: DataFrame, text: str, *keys: str) -> DataFrame:
+    """df, dealt by keys to as many tasks as its texts' bytes need (MOST_TASKS, of more bytes each, for more than 40 GB):
+    for work that takes long for few bytes, which AQE would put into few tasks."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    return df.repartition(max(1, min(MOST_TASKS, -(-size // TASK_BYTES))), *keys)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of finished steps, which it does as their plans are collected."""
     gc.collect()

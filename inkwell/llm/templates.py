@@ -1,10 +1,13 @@
-"""Licence templates: (id, text). Short notices and the whole texts of short licences, as they are publicly known.
+"""Licence templates: (id, text). Short notices, the whole texts of short licences and, from licence_texts, those of
+long ones, as they are publicly known.
 
-Fixed values: the wording of each licence. A template's id is an SPDX identifier, with the wording's number where a
-licence has several.
+Fixed values: the wording of each licence, here and in licence_texts. A template's id is an SPDX identifier, with the
+wording's number where a licence has several.
 """
 
-TEMPLATES = (
+from importlib.resources import files
+
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT license."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
@@ -91,3 +94,7 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
+
+#: Whole texts, each in a file of its id.
+WHOLE = ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")
+TEMPLATES = NOTICES + tuple((name, files(__package__).joinpath("licence_texts", f"{name}.txt").read_text("utf-8")) for name in WHOLE)

@@ -118,3 +118,57 @@ def test_licences_of_several_paragraphs(spark, folder):
     want = {(0, full("1-3")), (None, full("1-3")), (1, full("1-3")), (2, full("2-4")), (3, "Apache-2.0:s3.1:0.8750"), (4, "BSD-3-Clause:r1-6:1.0000"), (5, "CC0-1.0:l{}:1.0000,MIT:r1-3:1.0000"), (10, ""), (11, ""), (12, "")}
     assert got == {(k, f.replace("{}", str(texts[5].count("\n") + 1))) for k, f in want}
     assert not any(expected(texts[k]) for k in (0, 1, 2, 4))
+
+
+def best_passage(text, template, least=licenses.DICE):
+    """(dice, first word, last word) of the best words in a row, all tried."""
+    w, t = re.split(r"[ \n\x01]+", norm(text).strip(" \n\x01")), grams(norm(template))
+    lo, hi = licenses.bounds(t.total(), least)
+    best = (0, 0, 0)
+    for a in range(len(w) - lo):
+        own, shared = Counter(), 0
+        for b in range(a + 1, min(len(w), a + hi + 1)):
+            g = (w[b - 1], w[b])
+            own[g] += 1
+            shared += own[g] <= t[g]
+            if b - a >= lo:
+                best = min(best, (-2 * shared / (b - a + t.total()), a + 1, b + 1))
+    return best if -best[0] >= least - 1e-12 else None
+
+
+def test_passages_of_words(spark, folder):
+    """Notices in the middle of longer sentences and over several: no unit shows them."""
+    names = [n for n, _ in TEMPLATES]
+    mpl, isc, zlib = (" ".join(TEMPLATES[names.index(n)][1].split()) for n in ("MPL-2.0", "ISC", "Zlib"))
+    w = zlib.split()
+    texts = [
+        prose(1, 300) + " " + mpl.replace(".", ",") + " " + prose(2, 300), prose(3, 90) + " " + " ".join(w[:50] + ["as", "of", "the"] * 6 + w[50:]) + " " + prose(4, 200), " ".join(w[:60]) + " " + prose(5, 400) + " " + " ".join(w[60:]),
+        prose(6, 50) + " " + isc.replace(". ", " and ") + " " + mpl.replace(".", "") + " " + prose(7, 99), ("of the of the " * 400) + isc.lower(), "it is under the MIT license here " * 9,
+    ]
+    got = {r["doc_id"]: r for r in licenses.op8_license_scan(spark, folder(documents=documents(list(enumerate(texts))))).collect()}
+    for k, text in enumerate(texts):
+        shown = {f.split(":")[0] for f in got[k]["findings"].split(",")}
+        want = {}
+        for n, t in TEMPLATES:
+            if n not in shown and licenses.WORDY[0] <= grams(norm(t)).total() <= licenses.WORDY[1] and (p := best_passage(text, t)):
+                want[n] = min(want.get(n, (0,)), p)
+        assert got[k]["passages"] == ",".join(f"{n}:w{a}-{b}:{-d:.4f}" for n, (d, a, b) in sorted(want.items()))
+    assert [len(got[k]["passages"]) > 0 for k in range(6)] == [True, True, False, True, True, False]
+
+
+def test_whole_texts_of_long_licences(spark, folder):
+    """Alone, in a longer text, with words changed, and half of one. (The whole text ends with the notice of its use.)"""
+    text = dict(TEMPLATES[-7:])["GPL-2.0"]
+    other = "\n".join(line.replace("program", "library") for line in text.split("\n"))
+    rows = [(0, text), (1, prose(1, 4_000) + "\n\n" + text + "\n\n" + prose(2, 4_000)), (2, other), (3, text[: len(text) // 2])]
+    got = {r["doc_id"]: r["findings"] for r in licenses.op8_license_scan(spark, folder(documents=documents(rows))).collect()}
+    assert got[0].startswith("GPL-2.0:t:1.0000") and got[1].startswith("GPL-2.0:r2-") and got[2].startswith("GPL-2.0:t:0.9") and "GPL-2.0:" not in got[3]
+
+
+def test_many_licence_lines(spark, folder):
+    """One text of 10,000 licence lines, and the same in paragraphs: work in proportion to the text."""
+    line = "Licensed under the Apache License, Version 2.0."
+    part = " ".join(TEMPLATES[3][1].split()[:60])
+    rows = [(0, "\n".join([line] * 10_000)), (1, "\n\n".join([line] * 10_000)), (2, "\n\n".join([part] * 2_000))]
+    got = {r["doc_id"]: r["findings"] for r in licenses.op8_license_scan(spark, folder(documents=documents(rows))).collect()}
+    assert got == {0: "Apache-2.0:l1:1.0000", 1: "Apache-2.0:l1:1.0000", 2: ""}
