@@ -4,11 +4,15 @@ A token with digits or signs among letters, a letter three times in a row, or si
 signs or spaces is a lattice of characters: each sign stands for the letters it is used for (or for nothing), each
 run for one or two letters. Viterbi decoding under an interpolated character trigram model, counted over all
 documents, picks the word. Letters strung together may be several words: they are read as one and, with word ends allowed
-at the gaps at each cost of ENDS, as what the model makes of them; gaps wider than a space end words too. Other tokens have one path through their lattice and stay as they are. Decoding is done
-once a distinct token and kept in a bounded cache; it depends on the token alone.
-
-The scorer is fitted on a bounded sample of labelled rows, POSITIVES and NEGATIVES at most, chosen by hash, none of
-them held out. Words and their beginnings (4 to 6 letters) get the lower bound of their log-odds of label 1; then,
+at the gaps at each cost of ENDS, as what the model makes of them; gaps wider than a space end words too. Other tokens
+have one path through their lattice and stay as they are. A lattice of more than WINDOW places (a run is one) is
+decoded in windows that overlap by WINDOW - STRIDE, more than a word. Decoding is done once a distinct token and kept in
+a bounded cache; it depends on the token alone.
+
+The scorer is fitted on a bounded sample of labelled rows, POSITIVES and NEGATIVES at most, and of each kind no more
+rows than reach SAMPLE_BYTES, chosen by hash, none of them held out; an id that has several texts or labels is there
+once, with the least text and the highest label. Every feature that the sample supports is kept, so the model is
+bounded by the sample. Words and their beginnings (4 to 6 letters) get the lower bound of their log-odds of label 1; then,
 twice, a text of label 1 counts for its strongest words alone (NEAR the best), so that what merely stands beside them
 loses its weight. Weights of two thirds of the sample give the evidence on which, in the other third, a logistic
 function of a text's strongest words, their sum and the text's length is calibrated, with the classes weighed back to
@@ -29,13 +33,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from inkwell.llm.shared import ship, table, written
 
-POSITIVES, NEGATIVES, FEATURES = 6_000, 12_000, 20_000
+POSITIVES, NEGATIVES, SAMPLE_BYTES = 6_000, 12_000, 1 << 26
+WINDOW, STRIDE = 64, 48
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 PREFIXES = (4, 5, 6)
 SURE, LEAST, ROUNDS, NEAR = 1.5, 0.3, 2, 0.75
@@ -49,7 +54,9 @@ GAPS = set(".-_*~'·:,")
 _S = re.escape("".join(k for k in SIGNS if not k.isdigit()))
 DISGUISED = re.compile(rf"[^\W\d_][\d{_S}]+[^\W\d_]|(?:^|\W)[\d{_S}][^\W\d_]|[^\W\d_][\d$@]$|([^\W\d_])\1\1|[^\W_][.\-_*~'·:,][^\W_][.\-_*~'·:,][^\W_]")
 SPACED = re.compile(rf"(?<!\S)(?:[\w{_S}]\s+){{2,}}[\w{_S}](?!\S)")
+RUN = re.compile(r"(.)\1*", re.DOTALL)
 STRUNG = re.compile(r"[^\W_][.\-_*~'·:,][^\W_][.\-_*~'·:,][^\W_]")
+PIECES = re.compile(rf"[^\w{_S}.\-~'·:,]+")
 CLASSES = 28
 
 
@@ -117,12 +124,19 @@ class CharModel:
             states = after
         return min((cost + self.table[a][b][0], word) for (a, b), (cost, word) in states.items())[1]
 
-
     def read(self, letters: str) -> set[str]:
         """Words of letters with gaps between them: all as one, and with word ends at gaps."""
         return {w for end in (None, *ENDS) for w in self.decode(letters, end).split() if len(w) > 2}
 
 
+def windows(places: list[str], join: str = "") -> Iterator[str]:
+    """The places joined: all of them, or WINDOW after every STRIDE."""
+    for k in range(0, len(places), STRIDE):
+        yield join.join(places[k : k + WINDOW])
+        if k + WINDOW >= len(places):
+            break
+
+
 class Reader:
     """Text to its distinct features, by way of a bounded cache of tokens."""
 
@@ -136,7 +150,10 @@ class Reader:
             plain = [w for w in LETTERS.findall(token) if len(w) > 2]
             if DISGUISED.search(token):
                 bare = token.strip("!?.,;:()[]{}\"'`*%&^~<>|=#")
-                plain += [w for piece in re.split(r"[^\w" + _S + r".\-~'·:,]+", bare) if 3 <= len(piece) <= 64 for w in (self.chars.read(piece) if STRUNG.search(piece) else {self.chars.decode(piece)}) if w]
+                for piece in PIECES.split(bare):
+                    if len(piece) > 2:
+                        for part in [piece] if len(piece) <= WINDOW else windows([m[0] for m in RUN.finditer(piece)]):
+                            plain += [w for w in (self.chars.read(part) if STRUNG.search(piece) else {self.chars.decode(part)}) if w]
             found = tuple(dict.fromkeys(plain))
             if len(token) <= 64:
                 self.new[token] = found
@@ -152,11 +169,8 @@ class Reader:
             for m in SPACED.finditer(low):
                 parts = re.split(r"\s\s+|[^\S ]", m[0])
                 for run in [m[0], *(parts if len(parts) > 1 else [])]:
-                    letters = run.split()
-                    for k in range(0, len(letters), 48):  # windows overlap by more than a word
-                        out |= self.chars.read(" ".join(letters[k : k + 64]))
-                        if k + 64 >= len(letters):
-                            break
+                    for part in windows(run.split(), " "):
+                        out |= self.chars.read(part)
         return out
 
 
@@ -258,14 +272,14 @@ def odds(pos: float, neg: float, k1: float, k0: float) -> float:
 
 
 def weighed(spark: SparkSession, chars: CharModel, text: DataFrame) -> dict[str, float]:
-    """Weights of the features of text (text, label), at most FEATURES."""
+    """Weights of the features of text (text, label)."""
     sc = spark.sparkContext
     n = {r["label"]: r["count"] for r in text.groupBy("label").count().collect()}
     k1, k0 = n.get(1, 0), n.get(0, 0)
     counted = text.select("text", "label").mapInArrow(_count(sc.broadcast(chars)), "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     p, q = F.col("pos") + 0.5, F.col("neg") + 0.5
     w = F.ln(p / (k1 + 1)) - F.ln(q / (k0 + 1)) - SURE * F.sqrt(1 / p + 1 / q)
-    rows = counted.where("pos >= 2").withColumn("w", w).where(F.col("w") > LEAST).orderBy(F.desc("w"), "f").limit(FEATURES).collect()
+    rows = counted.where("pos >= 2").withColumn("w", w).where(F.col("w") > LEAST).collect()  # bounded by the sample
     weights, neg = {r["f"]: r["w"] for r in rows}, {r["f"]: r["neg"] for r in rows}
     for _ in range(ROUNDS):
         own = text.where("label = 1").select("text").mapInArrow(_credit(sc.broadcast(Scorer(chars, weights, NO_FIT))), "f string, pos long").groupBy("f").agg(F.sum("pos").alias("pos")).collect()
@@ -273,19 +287,28 @@ def weighed(spark: SparkSession, chars: CharModel, text: DataFrame) -> dict[str,
     return weights
 
 
+def labelled(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
+    """The sample (text, label, side), and how many ids of each label it is drawn from."""
+    own = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("doc_id")) != HELD_OUT))
+    own = own.groupBy("doc_id").agg(F.max("label").alias("label"))
+    rate = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
+    h = F.xxhash64(F.lit("toxicity"), "doc_id")
+    part = lambda y, most: own.where(F.col("label") == y).orderBy(h, "doc_id").limit(most)
+    sample = part(1, POSITIVES).union(part(0, NEGATIVES)).withColumn("side", F.pmod(h, F.lit(3)))
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")  # sample: at most POSITIVES + NEGATIVES rows
+    text = written(spark, text.groupBy("doc_id", "label", "side").agg(F.min("text").alias("text")), "labelled")
+    before = Window.partitionBy("label").orderBy(h, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    first = text.select("doc_id", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).alias("before")).where(F.col("before") < SAMPLE_BYTES)
+    return written(spark, text.join(F.broadcast(first.select("doc_id")), "doc_id").select("text", "label", "side"), "sample"), rate.get(1, 0), rate.get(0, 0)
+
+
 def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Scorer:
     ship(spark)
     chars = char_model(docs)
-    own = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("doc_id")) != HELD_OUT))
-    rate = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
-    n1, n0 = rate.get(1, 0), rate.get(0, 0)
+    text, n1, n0 = labelled(spark, docs, labels)
     share = n1 / max(1, n1 + n0)
     if not n1 or not n0:
         return Scorer(chars, {}, [math.log(max(share, 1e-6) / max(1 - share, 1e-6)), *NO_FIT[1:]])
-    h = F.xxhash64(F.lit("toxicity"), "doc_id")
-    part = lambda y, most: own.where(F.col("label") == y).orderBy(h, "doc_id").limit(most)
-    sample = part(1, POSITIVES).union(part(0, NEGATIVES)).withColumn("side", F.pmod(h, F.lit(3)))
-    text = written(spark, docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label", "side"), "sample")  # bounded by POSITIVES + NEGATIVES
     half = Scorer(chars, weighed(spark, chars, text.where("side <> 0")), NO_FIT)
     seen = text.where("side = 0").select("text", "label").mapInArrow(_weigh(spark.sparkContext.broadcast(half)), "x array<double>, label int").toPandas()
     weights = weighed(spark, chars, text)
@@ -297,7 +320,7 @@ def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Scorer:
 
 
 def scorer_udf(spark: SparkSession, scorer: Scorer):
-    model = spark.sparkContext.broadcast(scorer)  # bounded: FEATURES weights and the character table
+    model = spark.sparkContext.broadcast(scorer)  # bounded by the sample: weights, and the character table
 
     @F.pandas_udf(DoubleType())
     def score(texts: pd.Series) -> pd.Series:

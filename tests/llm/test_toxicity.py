@@ -123,3 +123,31 @@ def test_several_words_strung_out(reader, text):
 
 def test_single_letters_are_counted_by_occurrence(reader):
     assert "ass" in reader.of("some a s s here") and not {"aaa", "a a"} & reader.of("a word a word a word")
+
+
+LONG_WORDS = ["vi" + "l" * 90 + "e" * 70 + "scum" + "m" * 50, ".".join("sosomevilescumbadly" * 1), "-".join("x" * 40 + "filthwit" + "y" * 3), "f1lth" + "w" * 300 + "!t"]
+
+
+@pytest.mark.parametrize("token", LONG_WORDS)
+def test_long_pieces_are_decoded(reader, token):
+    bare = {"v": "vilescum", "s": "vilescum", "x": "filthwit", "f": "filthwit"}[token[0]]
+    assert any(bare in w for w in reader.of(f"prose {token} prose"))
+
+
+def test_disguised_words_deep_in_a_long_token(reader):
+    """A dotted phrase of 300 letters, and a token of a megabyte: windows, each in proportion to its length."""
+    r = random.Random(1)
+    phrase = "".join(r.choice("bdglmnprtaeiou") for _ in range(140)) + "rottenhead" + "".join(r.choice("bdglmnprtaeiou") for _ in range(150))
+    assert any("rottenhead" in w for w in reader.of(".".join(phrase)))
+    huge = "".join(r.choice("bdglmnprtaeiou17") for _ in range(1 << 17))
+    assert reader.of("v1l3scum " + huge) >= {"vilescum"} and reader.of("z" * (1 << 20)) is not None
+
+
+def test_repeated_ids_in_both_tables(spark, folder):
+    """One id with a third of all rows and several texts, ids labelled twice: the sample has each once."""
+    rows, labels = corpus(300)
+    many = [(5, f"{prose(k, 20, 900)} vilescum") for k in range(150)]
+    d = folder(documents=documents(rows + many), labels=(LABELS, labels + labels[:50] + [{"doc_id": 5, "toxic": 0}]))
+    docs, own = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    assert toxicity.labelled(spark, docs, own)[0].count() == sum(fold(k) != 2 for k in range(300))
+    assert len(toxicity.op6_toxicity(spark, d).collect()) == 450
