@@ -1,13 +1,20 @@
-"""Polynomial hashes modulo 2**64 of any stretch of a buffer, from one running sum."""
+"""Fingerprints of any stretch of a buffer, from running sums: polynomials modulo the prime 2**61 - 1 at two points.
+
+Two stretches of up to n bytes that differ agree at both points with a chance of (n / 2**61)**2, whatever they are: as
+the field is prime, words built against hashes modulo 2**64 (Thue-Morse words and the like) do not agree either.
+"""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
-K = U(0x9E3779B97F4A7C55)
-K_INV = U(pow(int(K), -1, 1 << 64))
+P = (1 << 61) - 1
+POINTS = (0x0F1B5D3A96C7E481, 0x12D4A7C98B3E6F05)  # any two numbers under P
 LEAST = 1 << 21
+PART, WIDE = 1 << 21, 1 << 16  # bytes in one sum; longer stretches are hashed one by one
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -16,21 +23,52 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+def reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & U(P)) + (x >> U(61))
+    return np.where(x >= U(P), x - U(P), x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a b modulo P, of numbers under P: in halves of 31 bits, as 2**62 is 2 and 2**61 is 1."""
+    a1, a0, b1, b0 = a >> U(31), a & U(0x7FFFFFFF), b >> U(31), b & U(0x7FFFFFFF)
+    mid = a1 * b0 + a0 * b1
+    return reduced(((a1 * b1) << U(1)) + (mid >> U(30)) + ((mid & U(0x3FFFFFFF)) << U(31)) + a0 * b0)
+
+
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base to the powers 0 to n at least."""
+    if len(_powers.get(base, ())) <= n:
+        out, step = np.ones(1, U), base
+        while len(out) <= max(n, LEAST):
+            out, step = np.concatenate([out, times(out, np.full(len(out), step, U))]), step * step % P
+        _powers[base] = out
+    return _powers[base]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """K and its inverse to the powers 0 to n at least."""
-    if len(_powers[0]) <= n:
-        for k, base in enumerate((K, K_INV)):
-            run = np.full(max(n, LEAST) + 1, base)
-            run[0] = 1
-            _powers[k] = np.multiply.accumulate(run)
-    return _powers[0], _powers[1]
+def _sums(b: np.ndarray, start: np.ndarray, stop: np.ndarray, base: int) -> np.ndarray:
+    up, down = powers(base, len(b)), powers(pow(base, -1, P), len(b))
+    x, p, value = b.astype(U) + U(1), up[: len(b)], None
+    for shift, part in ((32, p >> U(32)), (0, p & U(0xFFFFFFFF))):  # of a stretch, each sum is under 2**57
+        total = np.zeros(len(b) + 1, U)
+        np.cumsum(x * part, out=total[1:])
+        own = reduced(total[stop] - total[start])
+        value = times(own, np.full(1, 1 << 32, U)) if shift else reduced(value + own)
+    return mixed(times(value, down[start]))
 
 
-def stretches(b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A hash of each b[start:stop]."""
-    up, down = powers(len(b))
-    total = np.concatenate([np.zeros(1, U), np.cumsum((b.astype(U) + U(1)) * up[: len(b)])])
-    return mixed((total[stop] - total[start]) * down[start] + (stop - start).astype(U) * U(0xD6E8FEB86659FD93))
+def fingerprints(b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers for each b[start:stop]."""
+    out = np.zeros(len(start), U), np.zeros(len(start), U)
+    wide = stop - start > WIDE
+    for k in np.flatnonzero(wide):
+        d = hashlib.blake2b(b[start[k] : stop[k]].tobytes(), digest_size=16).digest()
+        for o, at in zip(out, (0, 8), strict=True):
+            o[k] = int.from_bytes(d[at : at + 8], "little")
+    for a in range(0, len(b), PART):
+        own = slice(None) if len(b) <= PART and not wide.any() else np.flatnonzero((start >= a) & (start < a + PART) & ~wide)
+        for o, base in zip(out, POINTS, strict=True):
+            o[own] = _sums(b[a : a + PART + WIDE], start[own] - a, stop[own] - a, base)
+    return out

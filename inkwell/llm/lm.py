@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.hashing import U, mixed, stretches
+from inkwell.llm.hashing import U, fingerprints, mixed
 from inkwell.llm.shared import scratch_path, ship, table
 
 FOLDS, BLOCK = 10, 1 << 21
@@ -47,7 +47,7 @@ def word_ids(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     gap = SPACE[b]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
     start, stop = edge[::2], edge[1::2]
-    return np.maximum(stretches(b, start, stop) >> U(16), U(3)), start
+    return np.maximum(fingerprints(b, start, stop)[0] >> U(16), U(3)), start
 
 
 def tokens(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -5,15 +5,18 @@ bucket of one of its own q-grams, the one of least hash (a function of the windo
 Consecutive windows with that gram in common are one run: its bytes, its start, its number of windows. Then
 
 1. grams that more than one run of the corpus names are kept (counted with map-side sums), other runs have no repeat;
-2. runs of equal bytes are one class: all but its first are repeats as a whole, by an aggregate and a join back;
-3. first runs whose gram is shared by other classes (or comes twice within) meet in a task for each part of the gram
-   hashes, sized by their bytes. There windows are sorted by bucket-pointer refinement: initial 8-gram buckets, then
-   sorting within buckets on the bucket pointers of later offsets (8, 16, 32, then 36 after 64), each round reusing
-   the pointers the last has updated, and leaving alone what stands alone. Windows of a bucket at depth LENGTH are
-   equal; all but the earliest are repeats.
-
-A gram that more than HOT classes share is not brought to one task: its runs' windows are dealt by hashes of their
-own 100 bytes (128 bits), which are aggregated map-side and joined back: exact too, only with more rows.
+2. runs of equal bytes (by two 64-bit fingerprints, see hashing) are one class: all but its first are repeats as a
+   whole, by an aggregate and a join back;
+3. first runs whose gram is shared by other classes (or comes twice within) meet: tasks get them sorted by gram and go
+   from gram to gram, CHUNK bytes at a time. There windows are sorted by bucket-pointer refinement: initial 4-gram
+   buckets, then sorting within buckets on the bucket pointers of later offsets (4, 8, 16, 32, then 36 after 64), each
+   round reusing the pointers the last has updated, and leaving alone what stands alone. Windows of a bucket at depth
+   LENGTH are equal; all but the earliest are repeats.
+
+A gram of more than SPLIT classes is a bucket that is refined once more before it is dealt: its runs are taken for texts
+themselves and go through 1 to 3 again, with the gram of least hash under another hash (buckets within the bucket), down
+to LEVELS. What even then stands in a bucket of more than SPLIT classes is dealt by the fingerprints of its windows,
+which are aggregated map-side and joined back: exact too, only with more rows.
 
 Order is (doc_id, start). Copies of a whole text are left out of 3 by joining a table of ids: all of their windows
 start earlier in the first copy.
@@ -30,17 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.hashing import U, stretches
+from inkwell.llm.hashing import U, fingerprints, mixed
 from inkwell.llm.shared import forget, release, ship, table, written
 
 LENGTH, GRAM = 100, 24
 PIECE, CHUNK = 1 << 20, 1 << 20
 MOST = 1024  # windows of a run
-HOT = 20_000  # classes of a gram in one task
-TASK_BYTES = 3 << 19
+SPLIT, LEVELS = 256, 4
 NO_ID = 2**63 - 1
 
 
@@ -57,22 +60,23 @@ def words(b: np.ndarray) -> np.ndarray:
     return np.ndarray((len(b) - 7,), "<u8", b, strides=(1,)).copy()
 
 
-def gram_hashes(b: np.ndarray) -> np.ndarray:
+def gram_hashes(b: np.ndarray, level: int = 0) -> np.ndarray:
     w, n = words(b), len(b) - GRAM + 1
     h = w[:n] * U(0x9E3779B97F4A7C15) + (w[8 : n + 8] ^ U(0xA0761D6478BD642F)) * U(0xE7037ED1A0B428DB) + (w[16 : n + 16] ^ U(0x8EBC6AF09C88C6E3)) * U(0x589965CC75374CC3)
+    h ^= U(level * 0x2545F4914F6CDD1D & 2**64 - 1)
     h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)
     return h ^ (h >> U(29))
 
 
-def runs(pieces: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
-    """Of pieces (offset in text, at least LENGTH bytes): piece, gram hash, start, windows, bytes' hash, whether the
-    gram comes twice within."""
+def runs(pieces: list[tuple[int, bytes]], level: int = 0, named: bool = True) -> tuple[np.ndarray, ...]:
+    """Of pieces (offset in text, at least LENGTH bytes): piece, gram hash, start, windows, whether the gram comes twice
+    within and, if named, the bytes' fingerprints."""
     raw = b"".join(p for _, p in pieces)
     b = np.frombuffer(raw, np.uint8)
     size = np.array([len(p) for _, p in pieces])
     ends = np.cumsum(size)
     piece = np.repeat(np.arange(len(pieces)), size)
-    h, width = gram_hashes(b), LENGTH - GRAM + 1
+    h, width = gram_hashes(b, level), LENGTH - GRAM + 1
     least = slid(h, width, np.minimum)  # by window
     at = np.arange(len(least))
     valid = at + LENGTH <= ends[piece[: len(least)]]
@@ -98,7 +102,7 @@ def runs(pieces: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
     a = start[own] + part * MOST
     k = np.minimum(MOST, n[own] - part * MOST)
     offset = np.array([o for o, _ in pieces]) - (ends - size)
-    return piece[a], least[a], a + offset[piece[a]], k, stretches(b, a, a + k + LENGTH - 1), met[own] > 1
+    return piece[a], least[a], a + offset[piece[a]], k, met[own] > 1, *(fingerprints(b, a, a + k + LENGTH - 1) if named else ())
 
 
 def cut_up(rows: Iterator[tuple[int, bytes]]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -115,35 +119,56 @@ def cut_up(rows: Iterator[tuple[int, bytes]]) -> Iterator[list[tuple[int, int, b
         yield out
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, tids = b.column(0).to_numpy(), b.column(1).to_numpy()
-        for chunk in cut_up((k, (x.as_py() or "").encode()) for k, x in enumerate(b.column(2))):
-            piece, gram, a, n, same, twice = runs([(o, p) for _, o, p in chunk])
-            row = np.array([k for k, _, _ in chunk])[piece]
-            at = a << 12 | n << 1 | twice  # n is at most MOST
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram.view(np.int64), same.view(np.int64), ids[row], tids[row], at)], ["gram", "same", "nid", "tid", "at"])
+def _runs(level: int, who: list[str], named: bool):
+    """Runs of rows (*who, key, text); key is the gram of the bucket above. Starts are those of the whole document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = {c: b.column(c).to_numpy() for c in who}
+            for chunk in cut_up((k, x.as_py() or b"") for k, x in enumerate(b.column("text"))):
+                piece, gram, a, n, twice, *same = runs([(o, p) for _, o, p in chunk], level, named)
+                row = np.array([k for k, _, _ in chunk])[piece]
+                if level:
+                    gram, a = mixed(gram ^ mixed(b.column("key").to_numpy()[row].view(U))), a + ids["base"][row]
+                at = a << 12 | n << 1 | twice  # n is at most MOST
+                own = {c: ids[c][row] for c in who} if named else {}
+                cols = {"gram": gram.view(np.int64), **{f"same{k}": x.view(np.int64) for k, x in enumerate(same)}, **own, "at": at}
+                yield pa.RecordBatch.from_pydict({c: pa.array(x) for c, x in cols.items()})
+
+    return run
 
 
-RUNS = "gram long, same long, nid long, tid long, at long"
+def longs(*names: str) -> str:
+    return ", ".join(f"{c} long" for c in names)
 
 
 def refined(b: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Bucket pointers at depth LENGTH of the given starts (each with LENGTH bytes behind it): equal for equal bytes."""
-    w = words(b)
-    order = np.argsort(w, kind="stable")
-    bucket = np.empty(len(w), np.int64)
-    first = np.flatnonzero(np.concatenate([[True], w[order][1:] != w[order][:-1]]))
-    size = np.diff(np.append(first, len(w)))
+    """Bucket pointers at depth LENGTH of the given starts (each with LENGTH bytes behind it): equal for equal bytes.
+    Places are sorted as one number with their bucket and a later one, if all three fit into 64 bits."""
+    n = len(b) - 3
+    bits = n.bit_length()
+    index = np.arange(n, dtype=U)
+    key = np.sort(np.ndarray((n,), "<u4", b, strides=(1,)).astype(U) << U(32) | index)
+    order, gram = (key & U(0xFFFFFFFF)).astype(np.int64), key >> U(32)
+    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    size = np.diff(np.append(first, n))
+    bucket = np.empty(n, np.int64)
     bucket[order] = np.repeat(first, size)
     live = np.sort(order[np.repeat(size > 1, size)])
-    for depth in (8, 16, 32, LENGTH - 64):
-        live = live[live + depth < len(bucket)] if depth != LENGTH - 64 else live[np.isin(live, windows, assume_unique=True)]
+    wanted = np.zeros(n, bool)
+    wanted[windows] = True
+    for depth in (4, 8, 16, 32, LENGTH - 64):
+        live = live[live + depth < n] if depth != LENGTH - 64 else live[wanted[live]]
         if not len(live):
             break
         old, later = bucket[live], bucket[live + depth]
-        order = np.lexsort((later, old))
-        live, old, later = live[order], old[order], later[order]
+        if 3 * bits < 64:
+            key = np.sort(old << 2 * bits | later << bits | live)
+            low = (1 << bits) - 1
+            live, old, later = key & low, key >> 2 * bits & low, key >> bits & low
+        else:
+            order = np.lexsort((later, old))
+            live, old, later = live[order], old[order], later[order]
         opens = np.concatenate([[True], old[1:] != old[:-1]])
         fresh = opens | np.concatenate([[True], later[1:] != later[:-1]])
         at = np.arange(len(live))
@@ -156,97 +181,143 @@ def refined(b: np.ndarray, windows: np.ndarray) -> np.ndarray:
 
 
 def repeats(strings: list[bytes], nid: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, from, to): stretches of windows that are equal to an earlier one, as text offsets."""
+    """(string, from, to): stretches of windows that are equal to an earlier one, as text offsets. The strings of one
+    nid may overlap only if several texts have it."""
+    line = np.lexsort((start, nid))
+    strings, d0, p0 = [strings[k] for k in line], nid[line], start[line]
     size = np.array([len(s) for s in strings])
     n, base = size - LENGTH + 1, np.cumsum(size) - size
     own = np.repeat(np.arange(len(strings)), n)
     k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     bucket = refined(np.frombuffer(b"".join(strings), np.uint8), base[own] + k)
-    order = np.lexsort((start[own] + k, nid[own], bucket))
-    o, d, p = bucket[order], nid[own][order], (start[own] + k)[order]
-    head = np.maximum.accumulate(np.where(np.concatenate([[True], o[1:] != o[:-1]]), np.arange(len(o)), 0))
+    many = np.flatnonzero(np.bincount(bucket)[bucket] > 1)
+    d, p, o = d0[own[many]], (p0[own] + k)[many], bucket[many]
+    if ((d0[1:] == d0[:-1]) & (p0[1:] < p0[:-1] + n[:-1])).any():
+        order = np.lexsort((p, d, o))
+    else:  # windows stand in their order
+        order = (np.sort(o << 32 | np.arange(len(o))) & 0xFFFFFFFF).astype(np.int64)
+    o, d, p = o[order], d[order], p[order]
+    head = np.maximum.accumulate(np.where(np.concatenate([[True], o[1:] != o[:-1]])[: len(o)], np.arange(len(o)), 0))
     again = np.zeros(len(own), bool)
-    again[order] = (d != d[head]) | (p != p[head])
+    again[many[order]] = (d != d[head]) | (p != p[head])
     edge = np.diff(np.concatenate([[False], again, [False]]).astype(np.int8))
     breaks = np.zeros(len(own) + 1, bool)
     breaks[np.cumsum(n)[:-1]] = True  # stretches end with their string
     joined = breaks & np.concatenate([[False], again]) & np.concatenate([again, [False]])
     left, right = np.flatnonzero((edge == 1) | joined), np.flatnonzero((edge == -1) | joined)
     s = own[left]
-    return s, start[s] + k[left], start[s] + k[right - 1] + LENGTH
-
-
-def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    t = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if t is not None and len(t):
-        nid, tid, a = (t.column(c).to_numpy() for c in ("nid", "tid", "a"))
-        s, lo, hi = repeats([x.as_py() for x in t.column("bytes")], nid, a)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (nid[s], tid[s], lo, hi)], ["nid", "tid", "lo", "hi"])
+    return line[s], p0[s] + k[left], p0[s] + k[right - 1] + LENGTH
 
 
-def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted runs' bytes: rows (nid, tid, text, want: list of (gram, a, n))."""
+def by_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by gram, again in batches that hold all of each gram's rows: grams up to CHUNK bytes, or one."""
+    held, size, last = [], 0, None
     for b in batches:
-        for nid, tid, text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
-            raw = (text.as_py() or "").encode()
-            if want:
-                m = len(want)
-                cols = [pa.array([w["gram"] for w in want], pa.int64()), pa.array([nid] * m, pa.int64()), pa.array([tid] * m, pa.int64()), pa.array([w["a"] for w in want], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([raw[w["a"] : w["a"] + w["n"] + LENGTH - 1] for w in want], pa.binary())], ["gram", "nid", "tid", "a", "bytes"])
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of hot runs under two hashes of its bytes."""
-    for b in batches:
-        for nid, tid, a, raw in zip(*(b.column(c).to_pylist() for c in range(1, 5)), strict=True):
-            x = np.frombuffer(raw, np.uint8)
-            k = np.arange(len(x) - LENGTH + 1)
-            other = np.bitwise_xor(x, np.uint8(0x5A))
-            cols = [stretches(x, k, k + LENGTH).view(np.int64), stretches(other[::-1].copy(), len(x) - k - LENGTH, len(x) - k).view(np.int64), np.full(len(k), nid), np.full(len(k), tid), a + k]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["w1", "w2", "nid", "tid", "a"])
-
-
-def spans(spark: SparkSession, docs: DataFrame, hot: int = HOT, task_bytes: int = TASK_BYTES) -> DataFrame:
-    """(nid, tid, lo, hi): stretches of bytes to remove, overlaps and all. docs: (nid, tid, text)."""
-    found = docs.mapInArrow(_runs, RUNS)
-    grams = found.groupBy("gram").agg(F.count("*").alias("runs"), F.max(F.col("at").bitwiseAND(1)).alias("twice"))
+        gram, ends = b.column("gram").to_numpy(), np.cumsum(pa.compute.binary_length(b.column("bytes")).to_numpy())
+        a = 0
+        for cut in [*(np.flatnonzero(gram[1:] != gram[:-1]) + 1), len(gram)] if len(gram) else []:
+            if size >= CHUNK and gram[a] != last:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(b.slice(a, cut - a))
+            size, last = size + int(ends[cut - 1] - (ends[a - 1] if a else 0)), gram[a]
+            a = cut
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _sort(doc: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_gram(batches):
+            s, lo, hi = repeats(t.column("bytes").to_pylist(), t.column("nid").to_numpy(), t.column("a").to_numpy())
+            cols = {**{c: t.column(c).to_numpy()[s] for c in doc}, "lo": lo, "hi": hi}
+            yield pa.RecordBatch.from_pydict({c: pa.array(x) for c, x in cols.items()})
+
+    return run
+
+
+def _bytes(doc: list[str], deep: bool):
+    """The wanted runs' bytes: rows (*who, text, want: list of (deep, gram, a, n))."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = {c: b.column(c).to_pylist() for c in doc}
+            base = b.column("base").to_pylist() if "base" in b.schema.names else [0] * b.num_rows
+            for k, (text, wants) in enumerate(zip(b.column("text"), b.column("want").to_pylist(), strict=True)):
+                want = [w for w in wants if w["deep"] == deep]
+                if want:
+                    raw, cols = text.as_py() or b"", {"gram": pa.array([w["gram"] for w in want], pa.int64())}
+                    cols |= {c: pa.array([x[k]] * len(want), pa.int64()) for c, x in ids.items()} | {"a": pa.array([w["a"] for w in want], pa.int64())}
+                    cols["bytes"] = pa.array([raw[w["a"] - base[k] : w["a"] - base[k] + w["n"] + LENGTH - 1] for w in want], pa.binary())
+                    yield pa.RecordBatch.from_pydict(cols)
+
+    return run
+
+
+def _windows(doc: list[str]):
+    """Each window of rows (*doc, a, bytes) under two fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, raw in enumerate(b.column("bytes").to_pylist()):
+                at = np.arange(len(raw) - LENGTH + 1)
+                w0, w1 = fingerprints(np.frombuffer(raw, np.uint8), at, at + LENGTH)
+                cols = {"w0": w0.view(np.int64), "w1": w1.view(np.int64), **{c: np.full(len(at), b.column(c)[k].as_py()) for c in doc}, "a": b.column("a")[k].as_py() + at}
+                yield pa.RecordBatch.from_pydict({c: pa.array(x) for c, x in cols.items()})
+
+    return run
+
+
+def copied(spark: SparkSession, rows: DataFrame, doc: list[str]) -> DataFrame:
+    """(*doc, size) of texts that an earlier document has as a whole."""
+    text_of = rows.select(*doc, F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("size")).where(F.col("size") >= LENGTH)
+    return written(spark, text_of.join(text_of.groupBy("sha").agg(F.min("nid").alias("first")), "sha").where("nid > first").select(*doc, "size"), "copies")
+
+
+def spans(spark: SparkSession, rows: DataFrame, who: list[str], split: int = SPLIT, level: int = 0) -> DataFrame:
+    """(*doc, lo, hi): stretches of bytes to remove, overlaps and all. rows: (*who, key, text as bytes); doc is who
+    without base, where a row's bytes start in its document."""
+    doc = [c for c in who if c != "base"]
+    grams = rows.mapInArrow(_runs(level, who, False), longs("gram", "at")).groupBy("gram").agg(F.count("*").alias("runs"), F.max(F.col("at").bitwiseAND(1)).alias("twice"))
     named = written(spark, grams.where("runs > 1 or twice = 1").select("gram"), "grams")
     release(spark)
+    found = rows.mapInArrow(_runs(level, who, True), longs("gram", "same0", "same1", *who, "at"))
     met = written(spark, found.join(named, "gram", "left_semi"), "runs")
     forget(spark, named)
     release(spark)
-    text_of = docs.select("nid", "tid", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("size")).where(F.col("size") >= LENGTH)
-    copies = written(spark, text_of.join(text_of.groupBy("sha").agg(F.min("nid").alias("first")), "sha").where("nid > first").select("nid", "tid", "size"), "copies")
-    met2 = written(spark, met.join(copies.select("nid", "tid"), ["nid", "tid"], "left_anti"), "runs")
-    forget(spark, met)
-    release(spark)
-    a, n = F.shiftright("at", 12), F.shiftright("at", 1).bitwiseAND(2047)
-    kinds = met2.groupBy("gram", "same", n.alias("n")).agg(F.min(F.struct("nid", a.alias("a"), "tid")).alias("first"), F.count("*").alias("size"), F.max(F.col("at").bitwiseAND(1)).alias("twice"))
+    copies = copied(spark, rows, doc) if level == 0 else None
+    if copies is not None:
+        some = written(spark, met.join(copies.select(*doc), doc, "left_anti"), "runs")
+        forget(spark, met)
+        met = some
+        release(spark)
+    a, n, same = F.shiftright("at", 12), F.shiftright("at", 1).bitwiseAND(2047), ["gram", "same0", "same1", "n"]
+    first = F.struct("nid", a.alias("a"), *[c for c in who if c != "nid"])
+    kinds = met.withColumn("n", n).groupBy(*same).agg(F.min(first).alias("first"), F.count("*").alias("size"), F.max(F.col("at").bitwiseAND(1)).alias("twice"))
     kinds = written(spark, kinds, "classes")
-    k = kinds.where("size > 1").select("gram", "same", F.col("n").alias("k"), "first")
-    whole = met2.withColumns({"a": a, "n": n}).join(k, ["gram", "same"]).where((F.col("n") == F.col("k")) & ((F.col("nid") != F.col("first.nid")) | (F.col("a") != F.col("first.a"))))
-    whole = written(spark, whole.select("nid", "tid", F.col("a").alias("lo"), (F.col("a") + F.col("n") + LENGTH - 1).alias("hi")), "spans")
-    forget(spark, met2)
+    whole = met.withColumns({"a": a, "n": n}).join(kinds.where("size > 1").select(*same, "first"), same).where("nid <> first.nid or a <> first.a")
+    out = written(spark, whole.select(*doc, F.col("a").alias("lo"), (F.col("a") + F.col("n") + LENGTH - 1).alias("hi")), "spans")
+    if copies is not None:
+        out = out.union(copies.select(*doc, F.lit(0).cast("long"), F.col("size").cast("long")))
+    forget(spark, met)
     release(spark)
     rivals = kinds.groupBy("gram").agg(F.count("*").alias("classes"), F.max("twice").alias("twice")).where("classes > 1 or twice = 1")
-    want = kinds.select("gram", "n", "first").join(rivals, "gram").select("gram", "n", "classes", "first.nid", "first.tid", "first.a")
-    per_text = want.groupBy("nid", "tid").agg(F.collect_list(F.struct(F.when(F.col("classes") > hot, -1).otherwise(0).alias("hot"), "gram", "a", "n")).alias("want"))
-    per_text = written(spark, per_text, "wanted")
-    sized = per_text.select(F.explode("want").alias("w")).agg(F.sum(F.col("w.n") + LENGTH - 1), F.min("w.hot")).first()
+    want = kinds.select("gram", "n", "first").join(rivals, "gram").select((F.col("classes") > split).alias("deep"), "gram", "n", "first.*")
+    want = written(spark, want.groupBy(*who).agg(F.collect_list(F.struct("deep", "gram", "a", "n")).alias("want")), "wanted")  # of one text
     forget(spark, kinds)
-    hot_too = sized[1] == -1
-    rows = docs.join(per_text, ["nid", "tid"]).select("nid", "tid", "text", F.filter("want", lambda w: w["hot"] == 0).alias("want")).mapInArrow(_bytes, "gram long, nid long, tid long, a long, bytes binary")
-    tasks = max(1, -(-(sized[0] or 0) // task_bytes))
-    part = written(spark, rows.repartition(tasks, "gram").mapInArrow(_sort, "nid long, tid long, lo long, hi long"), "spans")
+    deeper = not want.where(F.exists("want", lambda w: w["deep"])).isEmpty()
+    read = lambda deep: rows.join(want, who).mapInArrow(_bytes(doc, deep), longs("gram", *doc, "a") + ", bytes binary")
+    out = out.union(written(spark, read(False).repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort(doc), longs(*doc, "lo", "hi")), "spans"))
     release(spark)
-    out = whole.union(part).union(copies.select("nid", "tid", F.lit(0).cast("long"), F.col("size").cast("long")))
-    if hot_too:
-        rows = docs.join(per_text, ["nid", "tid"]).select("nid", "tid", "text", F.filter("want", lambda w: w["hot"] == -1).alias("want")).mapInArrow(_bytes, "gram long, nid long, tid long, a long, bytes binary")
-        windows = written(spark, rows.mapInArrow(_windows, "w1 long, w2 long, nid long, tid long, a long"), "windows")
-        first = windows.groupBy("w1", "w2").agg(F.min(F.struct("nid", "a")).alias("first"))
-        again = windows.join(first, ["w1", "w2"]).where((F.col("nid") != F.col("first.nid")) | (F.col("a") != F.col("first.a")))
-        out = out.union(again.select("nid", "tid", "a", F.col("a") + LENGTH))
-    return out
+    if not deeper:
+        return out
+    if level < LEVELS:
+        below = written(spark, read(True).select(*doc, F.col("a").alias("base"), F.col("gram").alias("key"), F.col("bytes").alias("text")), "buckets")
+        return out.union(spans(spark, below, [*doc, "base"], split, level + 1))
+    windows = written(spark, read(True).mapInArrow(_windows(doc), longs("w0", "w1", *doc, "a")), "windows")
+    first = windows.groupBy("w0", "w1").agg(F.min(F.struct("nid", "a")).alias("first"))
+    again = windows.join(first, ["w0", "w1"]).where("nid <> first.nid or a <> first.a")
+    return out.union(again.select(*doc, "a", F.col("a") + LENGTH))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -271,14 +342,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, hot: int = HOT) -> DataFrame:
+def deduplicated(spark: SparkSession, docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of each row of docs (doc_id, text)."""
     ship(spark)
     total, ids = docs.agg(F.count("*"), F.countDistinct(F.coalesce("doc_id", F.lit(NO_ID)))).first()
-    tid = F.lit(0).cast("long") if total == ids else F.xxhash64(F.coalesce("text", F.lit("")))  # tells apart texts under one id
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("nid"), tid.alias("tid"), F.coalesce("text", F.lit("")).alias("text"))
-    gone = spans(spark, rows, hot).groupBy("nid", "tid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return rows.join(gone, ["nid", "tid"], "left").select(F.nullif("nid", F.lit(NO_ID)).alias("doc_id"), "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:long,hi:long>>")
+    doc = ["nid"] if total == ids else ["nid", "tid"]  # tid tells apart texts under one id
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("nid"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tid"), F.coalesce("text", F.lit("")).alias("text"))
+    gone = spans(spark, rows.select(*doc, F.lit(0).cast("long").alias("key"), F.col("text").cast("binary").alias("text")), doc, split)
+    gone = gone.groupBy(*doc).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return rows.join(gone, doc, "left").select(F.nullif("nid", F.lit(NO_ID)).alias("doc_id"), "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:long,hi:long>>")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

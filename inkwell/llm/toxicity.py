@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -296,10 +296,11 @@ def labelled(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[D
     part = lambda y, most: own.where(F.col("label") == y).orderBy(h, "doc_id").limit(most)
     sample = part(1, POSITIVES).union(part(0, NEGATIVES)).withColumn("side", F.pmod(h, F.lit(3)))
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")  # sample: at most POSITIVES + NEGATIVES rows
-    text = written(spark, text.groupBy("doc_id", "label", "side").agg(F.min("text").alias("text")), "labelled")
-    before = Window.partitionBy("label").orderBy(h, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    first = text.select("doc_id", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).alias("before")).where(F.col("before") < SAMPLE_BYTES)
-    return written(spark, text.join(F.broadcast(first.select("doc_id")), "doc_id").select("text", "label", "side"), "sample"), rate.get(1, 0), rate.get(0, 0)
+    text = written(spark, text.groupBy("doc_id", "label", "side").agg(F.min("text").alias("text")), "labelled").withColumn("h", h)
+    sizes, last = text.select("label", "h", F.octet_length("text").alias("size")).toPandas().sort_values("h"), F.lit(False)  # bounded by the sample
+    for y, own in sizes.groupby("label"):
+        last = last | ((F.col("label") == int(y)) & (F.col("h") <= int(own["h"][(own["size"].cumsum() - own["size"]) < SAMPLE_BYTES].max())))
+    return written(spark, text.where(last).select("text", "label", "side"), "sample"), rate.get(1, 0), rate.get(0, 0)
 
 
 def fitted(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Scorer:

@@ -66,7 +66,7 @@ def test_passages(spark, folder):
 
 @pytest.mark.parametrize("hot", [1, 3])
 def test_hot_grams(spark, folder, hot):
-    """Buckets over the limit take the exact way by window hashes."""
+    """Buckets over the limit are refined before they are dealt, at last by window."""
     rows = passages()
     d = folder(documents=documents(rows))
     assert got(substrings.deduplicated(spark, spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), hot)) == expected(rows)
@@ -100,3 +100,31 @@ def test_refined_buckets():
     for a, x in zip(windows, bucket, strict=True):
         groups.setdefault(b[a : a + L].tobytes(), set()).add(int(x))
     assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
+
+
+def test_long_buckets_are_refined_alike():
+    """Buffers whose places do not fit into one number take the slower sort, with equal results."""
+    r = np.random.default_rng(1)
+    b = r.integers(97, 100, 5_000).astype(np.uint8)
+    b[3000:3600] = b[100:700]
+    windows = np.arange(len(b) - L + 1)
+    wide = np.concatenate([b, r.integers(0, 256, 1 << 21).astype(np.uint8)])
+    groups = lambda x: len(set(x.tolist()))
+    a, c = substrings.refined(b, windows), substrings.refined(wide, windows)
+    assert groups(a) == groups(c) == len(set(zip(a.tolist(), c.tolist(), strict=True)))
+
+
+def test_texts_built_against_hashes(spark, folder):
+    """A Thue-Morse word and its complement agree under polynomial hashes modulo 2**64."""
+    tm = "".join("ab"[bin(k).count("1") & 1] for k in range(1024))
+    other = tm.translate(str.maketrans("ab", "ba"))
+    pre, post = prose(1, 60), prose(2, 60)
+    rows = [(1, pre + tm + post), (2, pre + other + post), (3, tm + other), (4, "x" + other)]
+    assert got(substrings.op3_suffix_dedup(spark, folder(documents=documents(rows)))) == expected(rows)
+
+
+def test_one_gram_in_very_many_texts(spark, folder):
+    """One passage with other numbers in 900 texts: over SPLIT classes of its grams."""
+    r = random.Random(5)
+    rows = [(k, f"{prose(k, 12, 200)} Terms of order {r.randrange(10**6):06d} apply to all the goods in the list below and to their carriage, see overleaf for the whole text of {r.randrange(400)} pages. {prose(k + 5_000, 12, 200)}") for k in range(900)]
+    assert got(substrings.op3_suffix_dedup(spark, folder(documents=documents(rows)))) == expected(rows)
