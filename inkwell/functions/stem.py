@@ -24,6 +24,7 @@ _ENDINGS = """
 2 A ae ia ic is B as ly E ed es F en S on T or R yl U um V us X ar BB al
 1 A a e i o W s B y
 """
+#: The conditions' least lengths and endings, and the recodings after them.
 _LEN = {"B": 3, "C": 4, "D": 5, "F": 3, "G": 3, "K": 3, "Q": 3, "BB": 3}
 _RULES = {
     "E": "(?<!e)$", "F": "(?<!e)$", "G": "f$", "H": "(t|ll)$", "I": "(?<![oe])$", "J": "(?<![ae])$", "K": "(l|i|u.e)$", "L": "(?<![uxs])$|os$",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -21,7 +22,9 @@ def ship(spark: SparkSession) -> None:
         with tempfile.TemporaryDirectory() as d:
             tree = Path(d, "tree", home.name)
             shutil.copytree(home, tree, ignore=shutil.ignore_patterns("__pycache__"))
-            sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{home.name}", "zip", tree.parent))
+            place = tempfile.mkdtemp(prefix="inkwell-package-")  # served from here while the application runs
+            atexit.register(shutil.rmtree, place, ignore_errors=True)
+            sc.addPyFile(shutil.make_archive(f"{place}/{home.name}", "zip", tree.parent))
 
 
 def arrow_udf(f, kind):

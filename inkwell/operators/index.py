@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -12,6 +13,10 @@ from inkwell.functions import weights as W
 from inkwell.functions.stem import stem_terms
 from inkwell.functions.text import common_prefix, tokenize, tokenize_dropping_last
 from inkwell.plans.profile import SPARCK_JONES, Profile
+from inkwell.plans.scratch import exists, root, signature
+
+
+BLOCK, HEAD = 4096, 4  # document numbers of a block; characters by which terms are dealt
 
 
 def token_rows(docs: DataFrame, profile: Profile = SPARCK_JONES) -> DataFrame:
@@ -20,10 +25,15 @@ def token_rows(docs: DataFrame, profile: Profile = SPARCK_JONES) -> DataFrame:
     return docs.select("docnum", F.posexplode(words).alias("pos", "term"))
 
 
-def postings_of(docs: DataFrame, profile: Profile = SPARCK_JONES, stemmer: str | None = None) -> DataFrame:
-    """(term, docnum, dtf). Stemming maps the distinct terms, then adds up what became one term."""
+def postings_of(docs: DataFrame, profile: Profile = SPARCK_JONES, stemmer: str | None = None, on_document: Callable[[DataFrame], DataFrame] | None = None, on_term: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(term, docnum, dtf). Stemming maps the distinct terms, then adds up what became one term. Hooks: on_document
+    changes or drops documents before they are cut into words, on_term each term (null: it is left out); both are
+    expressions, so they run where the words are made."""
+    docs = on_document(docs) if on_document else docs
     words = tokenize(F.col("text"), profile.word, profile.lower) if profile.keeps_last_word else tokenize_dropping_last(F.col("text"), profile.word)
-    found = docs.select("docnum", F.explode(words).alias("term")).groupBy("term", "docnum").agg(F.count("*").alias("dtf"))
+    rows = docs.select("docnum", F.explode(words).alias("term"))
+    rows = rows.select("docnum", on_term(F.col("term")).alias("term")).where("term is not null") if on_term else rows
+    found = rows.groupBy("term", "docnum").agg(F.count("*").alias("dtf"))
     if stemmer is None:
         return found
     stems = stem_terms(found.select("term").distinct(), stemmer)
@@ -83,20 +93,34 @@ class Index:
         return self.docs.select("docnum").join(own, "docnum", "left").select("docnum", zero("maxdtf", "long"), zero("dwt", "double"))
 
     def posting_lists(self) -> DataFrame:
-        """(term, tf, postings): lists in document order, for storage of terms of bounded frequency."""
+        """(term, tf, postings): lists in document order, a row a term; posting_blocks() is for terms of any frequency."""
         both = F.struct("docnum", "dtf")
         return self.postings.groupBy("term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list(both)).alias("postings"))
 
+    def posting_blocks(self, width: int = BLOCK) -> DataFrame:
+        """(term, block, first, tf, gaps, dtfs): lists cut into blocks of width document numbers, each from its first
+        number on, so that no row grows with a term's frequency and a hot term's blocks are many tasks' work."""
+        block = F.floor(F.col("docnum") / width).cast("long").alias("block")
+        rows = self.postings.groupBy("term", block).agg(F.sort_array(F.collect_list(F.struct("docnum", "dtf"))).alias("l"))  # width at most
+        gaps = F.transform("l", lambda x, i: x["docnum"] - F.when(i == 0, F.col("l")[0]["docnum"]).otherwise(F.get("l", i - 1)["docnum"]))
+        return rows.select("term", "block", F.col("l")[0]["docnum"].alias("first"), F.size("l").cast("long").alias("tf"), gaps.alias("gaps"), F.col("l.dtf").alias("dtfs"))
+
     def with_profile(self, profile: Profile) -> Index:
         return replace(self, profile=profile)
 
-    def write(self, path: str, buckets: int = 64) -> None:
-        """Parquet tables under path. Postings lie in ranges of term and sorted, so a term's rows are found by the
-        statistics of row groups; terms likewise."""
+    def write(self, path: str, buckets: int | None = None) -> None:
+        """Parquet tables under path, info last. Postings lie in ranges of term and document (so a hot term has many
+        files) and sorted, so a term's rows are found by the statistics of row groups; terms likewise. Without buckets
+        there are as many ranges as AQE finds the bytes need. Postings are counted once: the ranges come from what was
+        written."""
+        spark = self.docs.sparkSession
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        sort = lambda df, *keys: df.repartitionByRange(buckets, *keys).sortWithinPartitions(*keys)
-        sort(self.postings, "term", "docnum").write.mode("overwrite").parquet(f"{path}/postings")
-        saved = replace(self, postings=self.docs.sparkSession.read.parquet(f"{path}/postings"))
+        sort = lambda df, *keys: df.repartitionByRange(*([buckets] if buckets else []), *keys).sortWithinPartitions(*keys)
+        self.postings.write.mode("overwrite").parquet(f"{path}/counted")
+        sort(spark.read.parquet(f"{path}/counted"), "term", "docnum").write.mode("overwrite").parquet(f"{path}/postings")
+        saved = replace(self, postings=spark.read.parquet(f"{path}/postings"), docs=spark.read.parquet(f"{path}/docs"))
+        saved.terms.write.mode("overwrite").parquet(f"{path}/term_counts")
+        saved.__dict__["terms"] = spark.read.parquet(f"{path}/term_counts")
         sort(saved.terms, "term").write.mode("overwrite").parquet(f"{path}/terms")
         sort(saved.doc_stats, "docnum").write.mode("overwrite").parquet(f"{path}/doc_stats")
         saved.info.write.mode("overwrite").parquet(f"{path}/info")
@@ -105,7 +129,9 @@ class Index:
     def read(spark: SparkSession, path: str, profile: Profile = SPARCK_JONES, stemmer: str | None = None) -> Index:
         t = {name: spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "terms", "doc_stats", "info")}
         out = Index(t["docs"], t["postings"], profile, stemmer)
-        out.__dict__.update(terms=t["terms"], doc_stats=t["doc_stats"], info=t["info"])  # stored, so not derived again
+        most = t["doc_stats"].select("docnum", "maxdtf")
+        most = most if profile.compat_multidoc else most.where("maxdtf > 0")  # documents that have terms
+        out.__dict__.update(terms=t["terms"], doc_stats=t["doc_stats"], info=t["info"], maxdtf=most)  # stored, so not derived again
         return out
 
 
@@ -114,6 +140,16 @@ def build(docs: DataFrame, profile: Profile = SPARCK_JONES, stemmer: str | None
     return Index(docs.drop("text"), postings_of(docs, profile, stemmer), profile, stemmer)
 
 
+def stored(docs: DataFrame, profile: Profile = SPARCK_JONES, stemmer: str | None = None) -> Index:
+    """The index of docs, a frame over files: built and written where the shared folder has none of these files as they
+    are now, then read. So it is built once and looked up by every later search."""
+    spark = docs.sparkSession
+    path = f"{root(spark)}/inkwell-index-{signature(docs, profile, stemmer)}"
+    if not exists(spark, f"{path}/info/_SUCCESS"):
+        build(docs, profile, stemmer).write(path)
+    return Index.read(spark, path, profile, stemmer)
+
+
 def merge(a: Index, b: Index) -> Index:
     """The index of both collections (document numbers must differ, or counts of one document add up)."""
     both = a.postings.unionByName(b.postings).groupBy("term", "docnum").agg(F.sum("dtf").alias("dtf"))
@@ -127,22 +163,37 @@ def verify(terms: DataFrame, postings: DataFrame) -> DataFrame:
 
 
 def dgaps(postings: DataFrame) -> DataFrame:
-    """(term, docnum, gap, dtf): differences of document numbers, the first from 0."""
-    w = Window.partitionBy("term").orderBy("docnum")
-    return postings.select("term", "docnum", (F.col("docnum") - F.lag("docnum", 1, 0).over(w)).alias("gap"), "dtf")
+    """(term, docnum, gap, dtf): differences of document numbers, the first from 0. Numbers are dealt in blocks, and
+    the last of a term's block before (a row a term and block) is carried over, so a hot term is many tasks' work."""
+    rows = postings.select("term", "docnum", "dtf", F.floor(F.col("docnum") / BLOCK).cast("long").alias("block"))
+    last = rows.groupBy("term", "block").agg(F.max("docnum").alias("last"))
+    last = last.select("term", "block", F.lag("last", 1, 0).over(Window.partitionBy("term").orderBy("block")).alias("before"))
+    w = Window.partitionBy("term", "block").orderBy("docnum")
+    before = F.coalesce(F.lag("docnum").over(w), "before")
+    return rows.join(last, ["term", "block"]).select("term", "docnum", (F.col("docnum") - before).alias("gap"), "dtf")
 
 
 def from_dgaps(gaps: DataFrame) -> DataFrame:
-    """(term, docnum, dtf) from rows that come in order of docnum under another name, seq."""
-    w = Window.partitionBy("term").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return gaps.select("term", F.sum("gap").over(w).alias("docnum"), "dtf")
+    """(term, docnum, dtf) from rows that come in order of docnum under another name, seq: sums within blocks of seq,
+    on top of the sums of the blocks before."""
+    rows = gaps.select("term", "seq", "gap", "dtf", F.floor(F.col("seq") / BLOCK).cast("long").alias("block"))
+    so_far = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("term", "block").agg(F.sum("gap").alias("sum")).select("term", "block", F.coalesce(F.sum("sum").over(so_far), F.lit(0)).alias("before"))
+    w = Window.partitionBy("term", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(sums, ["term", "block"]).select("term", (F.sum("gap").over(w) + F.col("before")).alias("docnum"), "dtf")
 
 
-def front_coded(terms: DataFrame, blocks: int = 64) -> DataFrame:
+def front_coded(terms: DataFrame) -> DataFrame:
     """(term, prefix_len, suffix): each term after the one before it in byte order. Terms are coded within ranges of
-    a first character, each range starting afresh, as blocks of a sorted file do."""
-    w = Window.partitionBy(F.substring("term", 1, 1)).orderBy("term")
-    k = F.coalesce(common_prefix(F.lag("term").over(w), F.col("term")), F.lit(0))
+    a first character, each range starting afresh, as blocks of a sorted file do. The work is dealt by the first HEAD
+    characters; the last term of the head before, a row a head, is carried over."""
+    rows = terms.select("term", F.substring("term", 1, HEAD).alias("head"))
+    last = rows.groupBy("head").agg(F.max("term").alias("last"))
+    last = last.select("head", F.lag("last").over(Window.partitionBy(F.substring("head", 1, 1)).orderBy("head")).alias("before"))
+    w = Window.partitionBy("head").orderBy("term")
+    k = F.coalesce(common_prefix(F.coalesce(F.lag("term").over(w), F.col("before")), F.col("term")), F.lit(0))
+    terms = rows.join(last, "head").withColumn("k", k).select("term", "k")
+    k = F.col("k")
     return terms.select("term", k.cast("long").alias("prefix_len")).select("term", "prefix_len", F.substr("term", (F.col("prefix_len") + 1).cast("int")).alias("suffix"))
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import absolute_link, result_title, substituted
+from inkwell.plans.scratch import kept
 
 
 @dataclass(frozen=True)
@@ -38,9 +39,32 @@ def page_of(matches: int, size: int, page: int) -> Page:
     return Page(matches, size, pages, page, start, min(start + size - 1, matches))
 
 
-def page_rows(results: DataFrame, page: Page) -> DataFrame:
-    """results must be ordered by its total order; offset and limit keep it a top-k."""
-    return results.offset(page.start - 1).limit(max(0, page.stop - page.start + 1))
+ORDER = (("score", False), ("docnum", True))
+
+
+def page_rows(results: DataFrame, page: Page, order: tuple[tuple[str, bool], ...] = ORDER, near: int = 10_000) -> DataFrame:
+    """The page's rows of results, in the order of columns (name, ascending) that tell all rows apart. Pages within near
+    rows of the first are a top-k, those within near of the last are one from the other end. For pages deep in between,
+    the rows are written in ranges of the order, each range is counted, and only ranges that hold the page are read."""
+    n = page.stop - page.start + 1
+    keys = [F.col(c) if up else F.desc(c) for c, up in order]
+    if n <= 0:
+        return results.limit(0)
+    if page.stop <= near:
+        return results.orderBy(*keys).offset(page.start - 1).limit(n)
+    if page.matches - page.start < near:
+        back = [F.desc(c) if up else F.asc(c) for c, up in order]
+        return results.orderBy(*back).offset(page.matches - page.stop).limit(n).orderBy(*keys)
+    ranges = kept(results.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    before, wanted = 0, []
+    for r in ranges.groupBy("_range").count().orderBy("_range").collect():  # a row a partition
+        if before < page.stop and before + r["count"] >= page.start:
+            wanted.append((r["_range"], before))
+        before += r["count"]
+    offset = F.element_at(F.create_map(*[F.lit(x) for kv in wanted for x in kv]), F.col("_range"))
+    rows = ranges.where(F.col("_range").isin([k for k, _ in wanted]))
+    rows = rows.withColumn("_at", offset + F.row_number().over(Window.partitionBy("_range").orderBy(*keys)))
+    return rows.where(F.col("_at").between(page.start, page.stop)).drop("_at", "_range").orderBy(*keys)
 
 
 def with_metadata(rows: DataFrame, docs: DataFrame, host: str = "localhost") -> DataFrame:

@@ -38,12 +38,11 @@ def ranked(index: Index, query: str, k: int | None = None, within: DataFrame | N
     found = index.postings.where(wanted)
     if within is not None:
         found = found.join(within.select("docnum"), "docnum", "left_semi")
-    # every term of a document meets in one group, so the document's statistics are joined once, after it
-    damp = index.maxdtf if p.damping == "relative" else None
-    found = found.join(damp, "docnum") if damp is not None else found.withColumn("maxdtf", F.lit(0))
+    found = found.join(index.doc_stats.select("docnum", "maxdtf", "dwt"), "docnum")
     parts = found.join(F.broadcast(q), "term").withColumn("w", W.inner_product(W.dtw(F.col("idf"), W.log_dtf(p.damping, F.col("dtf"), F.col("maxdtf"))), F.col("qtw")))
-    sums = parts.groupBy("docnum").agg(F.sum("w").alias("total"), F.countDistinct("pos").alias("hits"))
-    out = sums.join(index.doc_stats.select("docnum", "dwt"), "docnum").select("docnum", (F.col("total") / F.col("dwt")).alias("score"), "hits").orderBy(F.desc("score"), "docnum")
+    # a posting meets one query term, or two words of one stem: positions are distinct
+    sums = parts.groupBy("docnum").agg(F.sum("w").alias("total"), F.max("dwt").alias("dwt"), F.count("pos").alias("hits"))
+    out = sums.select("docnum", (F.col("total") / F.col("dwt")).alias("score"), "hits").orderBy(F.desc("score"), "docnum")
     return out if k is None else out.limit(k)
 
 

@@ -10,8 +10,8 @@ from inkwell.functions.stem import stem_terms
 from inkwell.operators import index as ix
 from inkwell.operators import locks, paging, search, sets
 from inkwell.plans.profile import MG, MG_INT, TF_ONLY
-from inkwell.plans.request import free_text, parse_query_string
-from inkwell.plans.scratch import folder
+from inkwell.plans.request import free_text, parse_block, parse_query_string
+from inkwell.plans.scratch import folder, kept
 from inkwell.sources import crawl, readers
 from inkwell.streaming import index as streaming
 
@@ -38,9 +38,8 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def built(spark: SparkSession, sf_dir: str, profile=ix.SPARCK_JONES, stemmer=None) -> ix.Index:
-    """The index of documents. Its postings are used several times in a plan, so they are kept by Spark."""
-    i = ix.build(docs(spark, sf_dir), profile, stemmer)
-    return ix.Index(i.docs, i.postings.persist(), profile, stemmer)
+    """The stored index of documents: built by the first search of these files, looked up by the others."""
+    return ix.stored(docs(spark, sf_dir), profile, stemmer)
 
 
 POST = """post AS (SELECT substr(lower(raw), 1, 253) AS term, docnum, count(*) AS dtf
@@ -331,7 +330,7 @@ def ranked_within_boolean(spark, sf_dir):
 
 
 def _page(spark, sf_dir, size, number):
-    results = search.ranked(built(spark, sf_dir), COMMON).persist()
+    results = kept(search.ranked(built(spark, sf_dir), COMMON), "results")
     return results, paging.page_of(results.count(), size, number)
 
 
@@ -396,6 +395,29 @@ def row_console(spark, sf_dir):
     return _metadata(spark, sf_dir).select("docnum", paging.row_console().alias("row"))
 
 
+TEMPLATE = "".join(f"##ys_{name}##\n[{name}{' %l' if name.startswith('nav_') and name not in ('nav_top', 'nav_bottom') else ''}]\n" for name in paging.SECTIONS)
+
+
+@query(META + """, c AS (SELECT count(*) AS m FROM ranked), r AS (SELECT string_agg('<li><a href="' || link || '">' || title || '</a> ' || printf('%.2f', score) || ' ' || hits || ' ' || size || '</li>', chr(10) ORDER BY score DESC, docnum) AS rows FROM m)
+    SELECT replace('[page_head]~[search_form]~[summary]~Page 1 displayed, out of ' || ceil(m / 10)::BIGINT || ' pages, containing ' || m || ' items~[nav_top]~' || CASE WHEN m > 10 THEN '[nav_next ?q=x&page=2]~[nav_last ?q=x&page=' || ceil(m / 10)::BIGINT || ']~' ELSE '' END
+    || '[list_head]~', '~', chr(10)) || rows || replace('~[list_foot]~[nav_bottom]~[page_foot]~', '~', chr(10)) AS page FROM c, r""")
+def result_page(spark, sf_dir):
+    """The first page, with all sections of a template."""
+    matches = search.ranked(built(spark, sf_dir), COMMON).count()
+    rows = _metadata(spark, sf_dir).orderBy(F.desc("score"), "docnum").select(paging.row_html().alias("row")).collect()  # a page
+    page = paging.result_page([r["row"] for r in rows], paging.page_of(matches, 10, 1), paging.load_template(TEMPLATE), "?q=x")
+    return spark.range(1).select(F.lit(page).alias("page"))
+
+
+@query("""WITH t AS (SELECT doc_id AS docnum, unnest(regexp_extract_all(replace(text, 'the', 'THE '), '[A-Za-z0-9]+')) AS raw FROM documents WHERE lang <> 'de')
+    SELECT upper(substr(lower(raw), 1, 253)) AS term, docnum, count(*) AS dtf FROM t WHERE length(raw) > 3 GROUP BY ALL""")
+def index_hooks(spark, sf_dir):
+    """Hooks of the index builder: one changes and drops documents, one changes and drops terms."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("docnum"), "text", "lang")
+    on_document = lambda rows: rows.where("lang <> 'de'").withColumn("text", F.replace("text", F.lit("the"), F.lit("THE ")))
+    return ix.postings_of(d, on_document=on_document, on_term=lambda t: F.when(F.length(t) > 3, F.upper(t)))
+
+
 # the index's physical forms
 
 GAPS = f"WITH {POST}, g AS (SELECT term, docnum, docnum - lag(docnum, 1, 0) OVER (PARTITION BY term ORDER BY docnum) AS gap, dtf FROM post)"
@@ -465,6 +487,13 @@ def posting_lists(spark, sf_dir):
     return p.select("term", "tf", F.array_join(F.transform("postings", lambda x: F.concat_ws(":", x["docnum"], x["dtf"])), " ").alias("postings"))
 
 
+@query(f"""WITH {POST}, g AS (SELECT term, docnum, dtf, docnum // 4096 AS block, docnum - coalesce(lag(docnum) OVER (PARTITION BY term, docnum // 4096 ORDER BY docnum), docnum) AS gap FROM post)
+    SELECT term, block, min(docnum) AS first, count(*) AS tf, string_agg(gap, ' ' ORDER BY docnum) AS gaps, string_agg(dtf, ' ' ORDER BY docnum) AS dtfs FROM g GROUP BY term, block""")
+def posting_blocks(spark, sf_dir):
+    p = built(spark, sf_dir).posting_blocks()
+    return p.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ") for c in ("gaps", "dtfs")})
+
+
 @query(f"WITH {POST} SELECT * FROM post")
 def index_merge(spark, sf_dir):
     d = docs(spark, sf_dir)
@@ -511,7 +540,8 @@ def html_tag_tokens(spark, sf_dir):
     return readers.tag_tokens(pages(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH t AS (SELECT page_id, html_unescape_ AS text FROM (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&') AS html_unescape_ FROM pages))
+    SELECT substr(lower(raw), 1, 253) AS term, page_id AS docnum, count(*) AS dtf FROM (SELECT page_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS raw FROM t) GROUP BY ALL""")
 def html_text_terms(spark, sf_dir):
     p = pages(spark, sf_dir)
     return ix.postings_of(p.select(F.col("page_id").alias("docnum"), readers.html_text(F.col("html")).alias("text")))
@@ -542,6 +572,51 @@ def binary_guard(spark, sf_dir):
     return docs(spark, sf_dir).select("docnum", text.binary_guard(F.col("text")).alias("text"))
 
 
+WORD_HTML = "'<p>' || r_name || '</p><div align=left name=\"Heading 1\">' || n_name || '</div><p>of ' || r_name || '</p><DIV name=heading 2 class=x>' || n_nationkey || '</DIV><i>' || n_name || '</i>'"
+
+
+@query(f"""WITH p AS (SELECT n_nationkey::BIGINT AS page_id, {WORD_HTML} AS html FROM nation JOIN region ON n_regionkey = r_regionkey),
+    s AS (SELECT page_id, unnest(l) AS part, generate_subscripts(l, 1) - 1 AS section FROM (SELECT page_id, string_split_regex(html, '(?i)<div[^>]*name="?heading [12]"?[^>]*>') AS l FROM p))
+    SELECT page_id, section, CASE WHEN section > 0 THEN {STRIP.format("regexp_extract(part, '(?is)^(.*?)</(?:h[12]|div)>', 1)")} ELSE '' END AS title, {STRIP.format('part')} AS text FROM s""")
+def word_html_sections(spark, sf_dir):
+    """Sections of HTML as a word processor writes it: headings are named divisions."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return readers.sections(n.select(F.col("n_nationkey").cast("long").alias("page_id"), F.expr(WORD_HTML.replace("\"", "\\\"")).alias("html")), readers.WORD_HEADINGS)
+
+
+@query("SELECT r_regionkey::BIGINT AS region, length(r_name) + 1 AS size, r_name || chr(10) AS text FROM region")
+def files_scanned(spark, sf_dir):
+    """A tree of text files, one for each region in a folder of its own, read again."""
+    path = folder(spark, "files")
+    table(spark, sf_dir, "region").select("r_regionkey", "r_name").repartition("r_regionkey").write.partitionBy("r_regionkey").text(path)
+    return readers.read_files(spark, path, "*.txt").select(F.regexp_extract("path", r"r_regionkey=(\d+)", 1).cast("long").alias("region"), F.col("size").cast("long").alias("size"), "text")
+
+
+@query("SELECT p_partkey AS part_key, upper(reverse(p_name)) AS text, reverse(upper(p_name)) AS other FROM part")
+def filter_chain(spark, sf_dir):
+    """name.up.rev is what up makes of what rev makes of it."""
+    f = readers.Filters({"up": F.upper, "rev": F.reverse})
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_key"), f.apply("name.up.rev", F.col("p_name")).alias("text"), f.apply("name.rev.up", F.col("p_name")).alias("other"))
+
+
+@query("SELECT p_partkey AS title, p_name AS text, p_brand AS file FROM part")
+def xml_documents(spark, sf_dir):
+    """Files of several documents, written as XML, one a brand, and read again."""
+    path = folder(spark, "xml")
+    doc = F.format_string('<DOC title="%d" file="%s">%s</DOC>', "p_partkey", "p_brand", "p_name")
+    files = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.concat(F.lit("<FILE>\n"), F.array_join(F.sort_array(F.collect_list(doc)), "\n"), F.lit("\n</FILE>")).alias("xml"))
+    files.repartition("p_brand").write.partitionBy("p_brand").text(path)
+    _, docs_ = readers.read_xml(spark, path)
+    return docs_.select(F.col("title").cast("long").alias("title"), "text", F.col("file"))
+
+
+@query("SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand")
+def catalog_collection(spark, sf_dir):
+    """A collection read by its name."""
+    catalog = readers.Catalog(f"# collections\nparts.path={sf_dir}/part.parquet\n")
+    return spark.read.parquet(catalog.path("parts")).groupBy("p_brand").agg(F.count("*").alias("n"))
+
+
 @query("SELECT page_id, reverse(split_part(reverse(url), '/', 1)) AS base, CASE WHEN regexp_matches(lower(url), '\\.html?$') THEN 'html' WHEN regexp_matches(lower(url), '\\.xml$') THEN 'xml' ELSE 'text' END AS route, ends_with(lower(url), 'x') AS ends FROM pages")
 def suffix_route(spark, sf_dir):
     u = F.col("url")
@@ -610,6 +685,21 @@ def ranked_stemmed(spark, sf_dir):
     return scored(search.ranked(built(spark, sf_dir, stemmer="lovins"), "nations standing of the", 10))
 
 
+@query(f"WITH {ranked_sql('the of in', 'maxtf', 'n', 'relative')} {TOP}")
+def stdin_request(spark, sf_dir):
+    """A search as a block of lines."""
+    return scored(search.search(built(spark, sf_dir), parse_block(":sm=ranked\n:ps=10\nthe of\nin\n")).limit(10))
+
+
+MANY = [*(f"zz{k}" for k in range(48)), "the", "of", "in", "die", "to"]
+
+
+@query(f"WITH {ranked_sql(' '.join(MANY[:50]))} {TOP}")
+def ranked_fifty_terms(spark, sf_dir):
+    """Of 53 words the first 50 count."""
+    return scored(search.ranked(built(spark, sf_dir), " ".join(MANY), 10))
+
+
 @query(f"WITH {ranked_sql('the of', 'maxtf', 'n', 'relative')} {TOP}")
 def request_dispatch(spark, sf_dir):
     """A search as it comes from a query string."""
@@ -691,19 +781,50 @@ def page_digest(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", F.md5("html").alias("digest"))
 
 
-@query()
+PAIRS = " UNION ALL ".join(f"""SELECT page_id, url, '{t}' AS tag, '{a}' AS attr, unnest(regexp_extract_all(html, '(?is)<{t}\\s(?:[^>]*\\s)?{a}\\s*=\\s*"([^"]*)"', 1)) AS link FROM pages""" for t, a in crawl.LINKS)
+META_LINK = """SELECT page_id, url, 'meta' AS tag, 'content' AS attr, unnest(regexp_extract_all(html, '(?is)<meta\\s[^>]*content\\s*=\\s*"\\d+;\\s*url=([^"]*)"', 1)) AS link FROM pages"""
+STEPS = "list_filter(string_split(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')"
+BESIDE = f"""links AS ({PAIRS} UNION ALL {META_LINK}), {FULL.replace("SELECT page_id, url, link,", "SELECT page_id, url, tag, attr, link,")},
+    steps AS (SELECT *, list_filter(string_split(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '[^/]*$', ''), '/'), lambda x: x <> '') AS b, {STEPS.format('target')} AS t,
+        regexp_extract(target, '^[^?#]*([?#].*)?$', 1) AS rest, {ORIGIN} = {ORIGIN.replace('url', 'target')} AS own FROM full_links),
+    common AS (SELECT *, len(list_filter(range(1, least(len(b), len(t)) + 1), lambda i: b[1:i] = t[1:i])) AS k FROM steps),
+    written AS (SELECT page_id, url, tag, attr, link, target, CASE WHEN own THEN coalesce(nullif(array_to_string(list_concat(list_transform(range(len(b) - k), lambda i: '..'), t[k + 1:]), '/'), ''), '.') || coalesce(rest, '') ELSE target END AS beside FROM common)"""
+
+
+@query(f"WITH {BESIDE} SELECT * FROM written")
 def links_all_kinds(spark, sf_dir):
     """Every kind of link, made absolute with dot segments resolved, and as it would be written beside its page."""
     found = crawl.links(pages(spark, sf_dir)).withColumn("target", urls.joined(F.col("url"), F.col("link")))
     return found.withColumn("beside", urls.relative(F.col("url"), F.col("target")))
 
 
-@query()
+@query(f"WITH {BESIDE} SELECT page_id, link FROM links WHERE NOT regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') AND NOT starts_with(link, '//')")
+def links_relative_only(spark, sf_dir):
+    """What a crawl follows that takes relative links only."""
+    return crawl.links(pages(spark, sf_dir)).where(crawl.is_relative(F.col("link"))).select("page_id", "link")
+
+
+@query(f"WITH {BESIDE} SELECT page_id, target FROM full_links WHERE NOT starts_with(lower(target), 'ftp:')")
+def links_without_ftp(spark, sf_dir):
+    found = crawl.links(pages(spark, sf_dir)).withColumn("target", urls.joined(F.col("url"), F.col("link")))
+    return found.where(~F.lower("target").startswith("ftp:")).select("page_id", "target")
+
+
+C_RULE = r"""\s+|//[^\n]*|(?s:/\*.*?\*/)|^[ \t]*#[^\n]*|L?"(?:\\.|[^"\\\n])*"|L?'(?:\\.|[^'\\\n])+'|(?:0[xX][0-9a-fA-F]*\.?[0-9a-fA-F]+[pP][+-]?\d+|\d+\.\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|\d+[eE][+-]?\d+)[fFlL]?|(?:0[xX][0-9a-fA-F]+|\d+)[uUlL]*|[A-Za-z_]\w*|\.\.\.|<<=|>>=|->|\+\+|--|<<|>>|[<>=!]=|&&|\|\||[-+*/%&^|]=|##|[-+*/%&|^~!<>=?:;,.(){}\[\]#]|(?s:.)"""
+_NAMES = ", ".join(f"('{k}', '{v}')" for k, v in [*((k, k.strip("_").upper()) for k in sorted(ctokens.KEYWORDS)), *ctokens.SIGNS.items()])
+
+
+@query(f"""WITH names(lexeme, name) AS (VALUES {_NAMES}), src AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<(?:script|style)[^>]*>(.*?)</', 1)) AS source FROM pages),
+    tok AS (SELECT page_id, unnest(regexp_extract_all(source, '(?m)' || $rule${C_RULE}$rule$)) AS t FROM src),
+    told AS (SELECT page_id, CASE WHEN name IS NOT NULL THEN name WHEN regexp_matches(t, '^[ \t]*#[^\n]*$') AND length(ltrim(t, ' \t')) > 2 THEN 'DIRECTIVE' WHEN regexp_matches(t, '^L?".*"$') THEN 'STRING_CONSTANT' WHEN regexp_matches(t, '^L?''.+''$') THEN 'CHARACTER_CONSTANT'
+        WHEN regexp_matches(t, '^[A-Za-z_]') THEN 'IDENTIFIER' WHEN regexp_matches(t, '^(0[xX][0-9a-fA-F]+|[0-9]+)[uUlL]*$') THEN 'INTEGER_CONSTANT' WHEN regexp_matches(t, '^[.]?[0-9]') THEN 'FLOATING_CONSTANT' ELSE 'BADTOK' END AS token
+        FROM tok LEFT JOIN names ON t = lexeme WHERE NOT regexp_matches(t, '^([ \t\r\n\f]+|//|/[*])'))
+    SELECT page_id, token, count(*) AS n FROM (SELECT * FROM told UNION ALL SELECT page_id, 'EOI' FROM src) GROUP BY page_id, token""")
 def c_token_kinds(spark, sf_dir):
     """C tokens of the pages' scripts and styles."""
     source = F.explode(F.regexp_extract_all("html", F.lit("(?is)<(?:script|style)[^>]*>(.*?)</"), F.lit(1))).alias("source")
     rows = pages(spark, sf_dir).select("page_id", source).select("page_id", F.explode(ctokens.c_tokens(F.col("source"))).alias("t"))
-    return rows.groupBy("page_id", F.col("t.kind").alias("kind")).agg(F.count("*").alias("n"))
+    return rows.groupBy("page_id", F.col("t.token").alias("token")).agg(F.count("*").alias("n"))
 
 
 # locks
@@ -735,6 +856,17 @@ def lock_replay(spark, sf_dir):
     return locks.replay(lock_log(spark, sf_dir))
 
 
+@query()
+def stream_locks(spark, sf_dir):
+    """The log's replay as a stream, with each lock's queue as state; one batch, so that its order is the log's."""
+    path = folder(spark, "locks")
+    log = lock_log(spark, sf_dir)
+    log.coalesce(1).write.parquet(f"{path}/log")
+    stream = streaming.stream_replay(spark.readStream.schema(log.schema).parquet(f"{path}/log"))
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
 @query("SELECT event_type AS name, count(*) FILTER (value < 5) AS nowaits, count(*) FILTER (value >= 5) AS waits FROM events GROUP BY event_type")
 def latch_statistics(spark, sf_dir):
     kind = F.when(F.col("value") < 5, "nowaits").otherwise("waits")

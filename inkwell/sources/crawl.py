@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.plans.scratch import kept
+
 LINKS = [("a", "href"), ("img", "src"), ("img", "href"), ("body", "background"), ("frame", "src"), ("iframe", "src"), ("fig", "src"), ("overlay", "src"), ("applet", "code"), ("script", "src"), ("embed", "src"), ("bgsound", "src"), ("area", "href"), ("img", "lowsrc"), ("input", "src"), ("layer", "src"), ("table", "background"), ("th", "background"), ("td", "background"), ("base", "href")]
 
 
@@ -111,17 +113,14 @@ def within_quota(pages: DataFrame, most: int) -> DataFrame:
     return pages.withColumn("_before", before).where(F.col("_before") < most).drop("_before")
 
 
-def reachable(edges: DataFrame, start: DataFrame, levels: int = 5, every: int = 3) -> DataFrame:
-    """(node, depth) within levels links of start (node); edges (src, dst). Each round joins the newest nodes only;
-    lineage is cut every few rounds with checkpoint() where a checkpoint folder is set."""
-    spark: SparkSession = edges.sparkSession
-    seen = start.select("node").distinct().withColumn("depth", F.lit(0))
-    fresh = seen
-    can_cut = bool(spark.conf.get("spark.checkpoint.dir", None)) or spark.sparkContext.getCheckpointDir() is not None
+def reachable(edges: DataFrame, start: DataFrame, levels: int = 5) -> DataFrame:
+    """(node, depth) within levels links of start (node); edges (src, dst). Each round joins the newest nodes only and
+    writes what it finds, so lineage ends with every round and nothing is kept in memory."""
+    edges = kept(edges.select("src", "dst"), "edges")
+    fresh = seen = kept(start.select("node").distinct().withColumn("depth", F.lit(0)), "reached")
     for depth in range(1, levels + 1):
         found = fresh.join(edges, fresh["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        fresh = found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
-        fresh = fresh.checkpoint() if can_cut and depth % every == 0 else fresh.persist()
+        fresh = kept(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "reached")
         if fresh.isEmpty():
             break
         seen = seen.unionByName(fresh)
