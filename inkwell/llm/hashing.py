@@ -13,8 +13,7 @@ import numpy as np
 U = np.uint64
 P = (1 << 61) - 1
 POINTS = (0x0F1B5D3A96C7E481, 0x12D4A7C98B3E6F05)  # any two numbers under P
-LEAST = 1 << 21
-PART, WIDE = 1 << 21, 1 << 16  # bytes in one sum; longer stretches are hashed one by one
+PART, WIDE = 1 << 19, 1 << 15  # starts in one sum; wider stretches are hashed one by one
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -35,28 +34,29 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return reduced(((a1 * b1) << U(1)) + (mid >> U(30)) + ((mid & U(0x3FFFFFFF)) << U(31)) + a0 * b0)
 
 
-_powers: dict[int, np.ndarray] = {}
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base to the powers 0 to n at least."""
-    if len(_powers.get(base, ())) <= n:
+    """base to the powers 0 to n."""
+    if (base, n) not in _powers:
         out, step = np.ones(1, U), base
-        while len(out) <= max(n, LEAST):
+        while len(out) <= n:
             out, step = np.concatenate([out, times(out, np.full(len(out), step, U))]), step * step % P
-        _powers[base] = out
-    return _powers[base]
+        _powers[base, n] = out[: n + 1].copy()
+    return _powers[base, n]
 
 
 def _sums(b: np.ndarray, start: np.ndarray, stop: np.ndarray, base: int) -> np.ndarray:
-    up, down = powers(base, len(b)), powers(pow(base, -1, P), len(b))
+    """Of each stretch the sum of (byte + 1) base**k, times base**PART, however far from the buffer's start it lies."""
+    up = powers(base, PART + WIDE)
     x, p, value = b.astype(U) + U(1), up[: len(b)], None
-    for shift, part in ((32, p >> U(32)), (0, p & U(0xFFFFFFFF))):  # of a stretch, each sum is under 2**57
+    for shift, part in ((32, p >> U(32)), (0, p & U(0xFFFFFFFF))):  # of a stretch, each sum is under 2**56
         total = np.zeros(len(b) + 1, U)
         np.cumsum(x * part, out=total[1:])
         own = reduced(total[stop] - total[start])
         value = times(own, np.full(1, 1 << 32, U)) if shift else reduced(value + own)
-    return mixed(times(value, down[start]))
+    return mixed(times(value, up[PART - start]))
 
 
 def fingerprints(b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

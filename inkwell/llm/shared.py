@@ -2,53 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
 import uuid
-from pathlib import Path
-
-import inkwell
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local: list[str] = []
-
-
-_shipped: set[str] = set()
+from inkwell.functions.udf import ship
+from inkwell.plans.scratch import root
 
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once an application, so that Python workers anywhere can import it."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        _shipped.add(sc.applicationId)
-        home = Path(inkwell.__file__).parent
-        with tempfile.TemporaryDirectory() as d:
-            tree = Path(d, "tree", home.name)
-            shutil.copytree(home, tree, ignore=shutil.ignore_patterns("__pycache__"))
-            sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{home.name}", "zip", tree.parent))
+__all__ = ["components", "dealt_by_bytes", "delete", "forget", "release", "scratch_path", "ship", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="inkwell-"))
-        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
-    return f"file://{_local[0]}"
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/inkwell-{name}-{uuid.uuid4().hex}"
+    return f"{root(spark)}/inkwell-{name}-{uuid.uuid4().hex}"
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

@@ -8,15 +8,15 @@ Consecutive windows with that gram in common are one run: its bytes, its start,
 2. runs of equal bytes (by two 64-bit fingerprints, see hashing) are one class: all but its first are repeats as a
    whole, by an aggregate and a join back;
 3. first runs whose gram is shared by other classes (or comes twice within) meet: tasks get them sorted by gram and go
-   from gram to gram, CHUNK bytes at a time. There windows are sorted by bucket-pointer refinement: initial 4-gram
+   from gram to gram, SORTED bytes at a time. There windows are sorted by bucket-pointer refinement: initial 4-gram
    buckets, then sorting within buckets on the bucket pointers of later offsets (4, 8, 16, 32, then 36 after 64), each
    round reusing the pointers the last has updated, and leaving alone what stands alone. Windows of a bucket at depth
    LENGTH are equal; all but the earliest are repeats.
 
 A gram of more than SPLIT classes is a bucket that is refined once more before it is dealt: its runs are taken for texts
 themselves and go through 1 to 3 again, with the gram of least hash under another hash (buckets within the bucket), down
-to LEVELS. What even then stands in a bucket of more than SPLIT classes is dealt by the fingerprints of its windows,
-which are aggregated map-side and joined back: exact too, only with more rows.
+to LEVELS, where buckets may have LAST times as many. What even then stands in a larger one is dealt by the fingerprints
+of its windows, which are aggregated map-side and joined back: exact too, only with more rows.
 
 Order is (doc_id, start). Copies of a whole text are left out of 3 by joining a table of ids: all of their windows
 start earlier in the first copy.
@@ -41,9 +41,9 @@ from inkwell.llm.hashing import U, fingerprints, mixed
 from inkwell.llm.shared import forget, release, ship, table, written
 
 LENGTH, GRAM = 100, 24
-PIECE, CHUNK = 1 << 20, 1 << 20
+PIECE, CHUNK, SORTED = 1 << 18, 1 << 18, 1 << 18
 MOST = 1024  # windows of a run
-SPLIT, LEVELS = 256, 4
+SPLIT, LEVELS, LAST = 256, 3, 16
 NO_ID = 2**63 - 1
 
 
@@ -210,13 +210,13 @@ def repeats(strings: list[bytes], nid: np.ndarray, start: np.ndarray) -> tuple[n
 
 
 def by_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by gram, again in batches that hold all of each gram's rows: grams up to CHUNK bytes, or one."""
+    """Rows sorted by gram, again in batches that hold all of each gram's rows: grams up to SORTED bytes, or one."""
     held, size, last = [], 0, None
     for b in batches:
         gram, ends = b.column("gram").to_numpy(), np.cumsum(pa.compute.binary_length(b.column("bytes")).to_numpy())
         a = 0
         for cut in [*(np.flatnonzero(gram[1:] != gram[:-1]) + 1), len(gram)] if len(gram) else []:
-            if size >= CHUNK and gram[a] != last:
+            if size >= SORTED and gram[a] != last:
                 yield pa.concat_batches(held)
                 held, size = [], 0
             held.append(b.slice(a, cut - a))
@@ -271,7 +271,8 @@ def _windows(doc: list[str]):
 def copied(spark: SparkSession, rows: DataFrame, doc: list[str]) -> DataFrame:
     """(*doc, size) of texts that an earlier document has as a whole."""
     text_of = rows.select(*doc, F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("size")).where(F.col("size") >= LENGTH)
-    return written(spark, text_of.join(text_of.groupBy("sha").agg(F.min("nid").alias("first")), "sha").where("nid > first").select(*doc, "size"), "copies")
+    first = written(spark, text_of.groupBy("sha").agg(F.min("nid").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first"), "firsts")
+    return written(spark, text_of.join(first, "sha").where("nid > first").select(*doc, "size"), "copies")  # alone, so that a text of many copies can be split
 
 
 def spans(spark: SparkSession, rows: DataFrame, who: list[str], split: int = SPLIT, level: int = 0) -> DataFrame:
@@ -302,7 +303,7 @@ def spans(spark: SparkSession, rows: DataFrame, who: list[str], split: int = SPL
     forget(spark, met)
     release(spark)
     rivals = kinds.groupBy("gram").agg(F.count("*").alias("classes"), F.max("twice").alias("twice")).where("classes > 1 or twice = 1")
-    want = kinds.select("gram", "n", "first").join(rivals, "gram").select((F.col("classes") > split).alias("deep"), "gram", "n", "first.*")
+    want = kinds.select("gram", "n", "first").join(rivals, "gram").select((F.col("classes") > (split if level < LEVELS else LAST * split)).alias("deep"), "gram", "n", "first.*")
     want = written(spark, want.groupBy(*who).agg(F.collect_list(F.struct("deep", "gram", "a", "n")).alias("want")), "wanted")  # of one text
     forget(spark, kinds)
     deeper = not want.where(F.exists("want", lambda w: w["deep"])).isEmpty()

@@ -10,11 +10,12 @@ VECTORS = ["vec_id", "embedding", "label"]
 
 
 def brute(ids, x, queries, k=20):
+    """Every row whose id is a query's against every row but itself, by id; ids may repeat."""
     out = {}
-    for q in queries:
-        score = (x * x[ids.index(q)]).sum(1)
-        order = sorted((j for j in range(len(ids)) if ids[j] != q), key=lambda j: (-score[j], ids[j]))[:k]
-        out[q] = [(ids[j], score[j]) for j in order]
+    for i in (i for i in range(len(ids)) if ids[i] in set(queries)):
+        score = (x * x[i]).sum(1)
+        order = sorted((j for j in range(len(ids)) if j != i), key=lambda j: (-score[j], ids[j]))[:k]
+        out.setdefault(ids[i], []).extend((ids[j], score[j]) for j in order)
     return out
 
 
@@ -50,9 +51,11 @@ def test_small_and_odd(spark, folder, clash, n):
     bad = [None, [], [0.0] * 4, [1.0, None, 1.0, 1.0], [float("nan")] * 4, [float("inf"), 1.0, 1.0, 1.0], [1.0, 2.0]]
     odd = [{"vec_id": 1000 + 20 * k, "embedding": v, "label": None} for k, v in enumerate(bad)] + [{"vec_id": None, "embedding": [1.0] * 4}] + rows[:1]
     got = found(ann.op9_nearest(spark, folder(clash, embeddings=(VECTORS, rows + odd))))
-    ids = [r["vec_id"] for r in rows]
-    want = brute(ids, x.astype(float), [i for i in ids if i % 20 == 0])
-    assert {q: [(a, s) for _, a, s in v] for q, v in got.items()} == {q: [(a, pytest.approx(s, abs=1e-12)) for a, s in v] for q, v in want.items()}
+    ids = [r["vec_id"] for r in rows] + [0]  # the first row once more
+    want = brute(ids, np.concatenate([x, x[:1]]).astype(float), [i for i in ids if i % 20 == 0])
+    in_order = lambda v: sorted((round(-s, 9), a) for a, s in v)
+    assert {q: in_order((a, s) for _, a, s in v) for q, v in got.items()} == {q: in_order(v) for q, v in want.items()}
+    assert all([r for r, *_ in v] == sorted(list(range(1, min(20, n) + 1)) * (2 if q == 0 else 1)) for q, v in got.items())
 
 
 def test_empty_tables(spark, folder):
@@ -92,3 +95,31 @@ def test_other_queries_and_k(spark):
     got = found(ann.neighbours(spark, df, F.col("vec_id") < 5, k=3))
     want = brute(list(range(50)), x.astype(float), range(5), 3)
     assert {q: [a for _, a, _ in v] for q, v in got.items()} == {q: [a for a, _ in v] for q, v in want.items()}
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    """One id with a third of all rows, some of them alike, is searched and found row by row."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 5)).astype(np.float32)
+    x[40:50] = x[40]
+    ids = list(range(1, 41)) + [100] * 20
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    got, want = found(ann.neighbours(spark, df, F.col("vec_id") == 100)), brute(ids, x.astype(float), [100])
+    assert sorted((round(s, 9), a) for _, a, s in got[100]) == sorted((round(s, 9), a) for a, s in want[100]) and len(got[100]) == 20 * 20
+
+
+def test_recall_of_rows_outside_the_sample(spark, monkeypatch):
+    """Clustered vectors, most of them not in the sample: recall against all rows, and the share of rows searched."""
+    monkeypatch.setattr(ann, "SAMPLE", 1024)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16))
+    x = np.concatenate([c + rng.normal(size=(150, 16)) * 0.25 for c in centres])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)[rng.permutation(6_000)]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    seen = {}
+    real = ann.searched
+    monkeypatch.setattr(ann, "searched", lambda index, queries, router, k, probes: seen.update(parts=router.parts, probes=probes) or real(index, queries, router, k, probes))
+    got = found(ann.neighbours(spark, df, F.col("vec_id") % 20 == 0))
+    want = brute(list(range(6_000)), x.astype(float), range(0, 6_000, 20))
+    hits = sum(len({a for _, a, _ in got[q]} & {a for a, _ in want[q]}) for q in want)
+    assert hits / (20 * len(want)) >= 0.9 and seen["probes"] / seen["parts"] <= 0.3

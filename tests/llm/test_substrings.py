@@ -64,9 +64,10 @@ def test_passages(spark, folder):
     assert got(substrings.op3_suffix_dedup(spark, folder(documents=documents(rows)))) == expected(rows)
 
 
-@pytest.mark.parametrize("hot", [1, 3])
-def test_hot_grams(spark, folder, hot):
+@pytest.mark.parametrize("hot,last", [(1, 1), (3, 16)])
+def test_hot_grams(spark, folder, hot, last, monkeypatch):
     """Buckets over the limit are refined before they are dealt, at last by window."""
+    monkeypatch.setattr(substrings, "LAST", last)
     rows = passages()
     d = folder(documents=documents(rows))
     assert got(substrings.deduplicated(spark, spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), hot)) == expected(rows)
