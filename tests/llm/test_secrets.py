@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from inkwell.llm import secrets
 
@@ -91,3 +92,32 @@ def test_redaction(spark, folder, rows):
                 want += (text[upto:a] + secrets.MARK) if a >= upto else ""
                 upto = b
         assert (k, None if text is None else want + text[upto:]) in got
+
+
+def test_two_versions_of_a_corpus(spark, folder, tmp_path, rows):
+    """With a kept ledger, the second version's new texts alone are scanned, old findings reach new paths, and a changed
+    rule is looked for everywhere, the others nowhere again."""
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    blobs = lambda d: d.select(secrets.blob_id(F.col("text")).alias("blob_id"), "text")
+    frame = lambda rs: spark.createDataFrame([(r[0], r[1]) for r in rs], "doc_id long, text string")
+    tuples = lambda df: sorted(tuple(r) for r in df.select("blob_id", "kind", "ord", "start", "stop").collect())
+    pairs = lambda: [set(r["rules"]) for r in ledger.read("pairs", "blob_id string, rules array<string>").collect()]
+    first, second = frame(rows[: len(rows) // 2]), frame([*rows, (900, rows[0][1]), (901, SECRETS[0]), (902, "token: brandnew1")])
+    assert tuples(ledger.scanned(blobs(first))) == tuples(secrets.scan(blobs(first))[0])
+    n = len(pairs())
+    assert n == blobs(first).select("blob_id").distinct().count()
+    assert tuples(ledger.scanned(blobs(second))) == tuples(secrets.scan(blobs(second))[0])
+    assert len(pairs()) == blobs(second).select("blob_id").distinct().count()
+    changed = [r if r[0] != "access" else ("access", "AKIA[A-Z0-9]{17,}", None) for r in secrets.RULES]
+    assert tuples(ledger.scanned(blobs(second), changed)) == tuples(secrets.scan(blobs(second), rules=changed)[0])
+    fresh = pairs()
+    assert sum(len(p) for p in fresh) == 5 * blobs(second).select("blob_id").distinct().count()
+    spark.conf.set(secrets.LEDGER, f"file://{tmp_path}/kept")
+    try:
+        a = folder(documents=documents(rows[:20]))
+        secrets.op5_secret_scan(spark, a).count()
+        b = folder(documents=documents(rows + [(901, SECRETS[0])]))
+        got = sorted(map(repr, secrets.op5_secret_scan(spark, b).collect()))
+    finally:
+        spark.conf.unset(secrets.LEDGER)
+    assert got == sorted(map(repr, secrets.op5_secret_scan(spark, b).collect()))
