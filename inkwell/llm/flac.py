@@ -4,11 +4,14 @@ The reader takes mono to eight channels (left-side, right-side and mid-side ster
 LPC subframes, Rice partitions of both widths with escapes, and wasted bits; it verifies the CRC-8 of each header, the
 CRC-16 of each frame and the stream's MD5. Frames whose places the seek table gives are decoded side by side, one
 sample a step; streams without a full table are read frame by frame. The writer makes 8-bit mono frames of BLOCK
-samples, each constant, verbatim or fixed-predicted (order 0 to 2, best Rice parameter), and a seek point a frame, so
-any PCM block is reached by its sample offset without reading what is before it.
+samples, each constant, verbatim, fixed-predicted (order 0 to 2) or predicted linearly from the LPC samples before
+(autocorrelation, Levinson-Durbin), whichever is shortest at its best Rice parameter, and a seek point a frame, so any
+PCM block is reached by its sample offset without reading what is before it.
 
-Media column: bytes b become samples b - 128. Rows go through in groups of about GROUP bytes, so memory is bounded by
-the longest text; a damaged stream raises ValueError.
+Media column: bytes b become samples b - 128. The query writes the streams, reads them back and folds its features over
+the PCM that the seek points lead to. Rows go through in groups of about GROUP bytes, frames AT_ONCE samples at a time
+(all streams together), so what a text costs beyond its own bytes and stream's does not grow with it; a damaged stream
+raises ValueError.
 
 Defined cases: null and empty texts are 64 zero bytes; equal texts give equal streams and features; repeated rows
 give equal rows; texts are stored whole; an empty table gives no rows; other columns are ignored.
@@ -24,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm.shared import ship, table
+from inkwell.llm.shared import ship, table, written
 
-BLOCK, RATE, GROUP = 512, 8000, 1 << 21
+BLOCK, RATE, GROUP, AT_ONCE = 512, 8000, 1 << 21, 1 << 19
+LPC, PRECISION, LINEAR = 4, 12, 3  # LINEAR: the way after the fixed predictors
 
 
 def crc_table(poly: int, bits: int) -> np.ndarray:
@@ -82,6 +86,30 @@ def number_fields(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, widths
 
 
+def linear(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients in PRECISION bits (m, LPC), shifts and residuals (m, n - LPC) of each row; sums are of whole numbers,
+    so that a frame's predictor is the same whatever is encoded beside it."""
+    m, n = x.shape
+    r = np.stack([(x[:, k:] * x[:, : n - k]).sum(1) for k in range(LPC + 1)], 1).astype(float)
+    a, err = np.zeros((m, LPC)), np.maximum(r[:, 0], 1.0)
+    for i in range(LPC):
+        acc = r[:, i + 1].copy()
+        for j in range(i):
+            acc -= a[:, j] * r[:, i - j]
+        k = np.where(err > 0, acc / np.where(err > 0, err, 1), 0)
+        old = a.copy()
+        for j in range(i):
+            a[:, j] = old[:, j] - k * old[:, i - 1 - j]
+        a[:, i] = k
+        err = err * (1 - k * k)
+    top = np.maximum(abs(a).max(1), 1e-9)
+    shift = np.clip(PRECISION - 1 - np.frexp(top)[1], 0, 15)
+    most = (1 << (PRECISION - 1)) - 1
+    coef = np.clip(np.rint(a * np.exp2(shift)[:, None]), -most, most).astype(np.int64)
+    guess = sum(coef[:, j : j + 1] * x[:, LPC - 1 - j : n - 1 - j] for j in range(LPC)) >> shift[:, None]
+    return coef, shift, x[:, LPC:] - guess
+
+
 def frames(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Encodes frames of one size: samples (m, n) of 8 bits. All bytes, in order, and each frame's length."""
     m, n = x.shape
@@ -94,33 +122,42 @@ def frames(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     stop = np.cumsum(size) - 2
     sums = crc(head, stop + 2 - size, stop, 8)
     best, kind, param = np.full(m, 8 * n), np.full(m, -1), np.zeros(m, np.int64)
-    residual, r = [], x
-    for order in range(3):
+    tries = [(order, order, np.diff(x, order, 1)) for order in range(min(3, n))]
+    if n > LPC:
+        coef, shift, r = linear(x)
+        tries.append((LINEAR, LPC, r))
+    residual = {}
+    for way, order, r in tries:
         u = np.where(r < 0, -2 * r - 1, 2 * r)
         total = u.sum(1)
         k = np.clip(np.floor(np.log2(np.maximum(total / u.shape[1], 1))), 0, 14).astype(np.int64)
-        bits = (u >> k[:, None]).sum(1) + u.shape[1] * (1 + k) + 8 * order + 10
+        bits = (u >> k[:, None]).sum(1) + u.shape[1] * (1 + k) + 8 * order + 10 + (9 + LPC * PRECISION if way == LINEAR else 0)
         better = bits < best
-        best, kind, param = np.where(better, bits, best), np.where(better, order, kind), np.where(better, k, param)
-        residual.append(u)
-        r = np.diff(r, axis=1)
+        best, kind, param = np.where(better, bits, best), np.where(better, way, kind), np.where(better, k, param)
+        residual[way] = u
     kind[(x == x[:, :1]).all(1)] = -2
-    out_v, out_w = np.zeros((m, 13 + n + 4), np.int64), np.zeros((m, 13 + n + 4), np.int64)
+    out_v, out_w = np.zeros((m, 17 + n + LPC), np.int64), np.zeros((m, 17 + n + LPC), np.int64)
     out_v[:, :4], out_w[:, :4], out_v[:, 4:10], out_w[:, 4:10], out_v[:, 10:12], out_w[:, 10:12] = head_v, 8, num_v, num_w, tail, tail_w
     out_v[:, 12], out_w[:, 12] = sums, 8
-    out_v[:, 13] = np.select([kind == -2, kind == -1], [0, 2], 16 + 2 * kind)
+    out_v[:, 13] = np.select([kind == -2, kind == -1, kind == LINEAR], [0, 2, 2 * (31 + LPC)], 16 + 2 * kind)
     out_w[:, 13] = 8
     flat = kind == -2
     out_v[flat, 14], out_w[flat, 14] = x[flat, 0] & 255, 8
     raw = kind == -1
     out_v[raw, 14 : 14 + n], out_w[raw, 14 : 14 + n] = x[raw] & 255, 8
-    for order in range(3):
-        own = np.flatnonzero(kind == order)
+    for way, order, _ in tries:
+        own = np.flatnonzero(kind == way)
         if len(own):
-            out_v[own, 14 : 14 + order], out_w[own, 14 : 14 + order] = x[own, :order] & 255, 8
-            out_v[own, 14 + order], out_w[own, 14 + order] = param[own], 10
-            k, u = param[own][:, None], residual[order][own]
-            out_v[own, 15 + order : 15 + n], out_w[own, 15 + order : 15 + n] = 1 << k | u & (1 << k) - 1, (u >> k) + 1 + k
+            at = 14 + order
+            out_v[own, 14:at], out_w[own, 14:at] = x[own, :order] & 255, 8
+            if way == LINEAR:
+                out_v[own, at], out_w[own, at] = PRECISION - 1 << 5 | shift[own], 9
+                out_v[own, at + 1 : at + 1 + LPC], out_w[own, at + 1 : at + 1 + LPC] = coef[own] & (1 << PRECISION) - 1, PRECISION
+                at += 1 + LPC
+            out_v[own, at], out_w[own, at] = param[own], 10
+            k, u = param[own][:, None], residual[way][own]
+            at, to = at + 1, at + 1 + n - order
+            out_v[own, at:to], out_w[own, at:to] = 1 << k | u & (1 << k) - 1, (u >> k) + 1 + k
     data, size = put_bits(out_v, out_w)
     stop = np.cumsum(size)
     sums = crc(data, stop - size, stop - 2, 16)
@@ -135,12 +172,14 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     for d, p in enumerate(payloads):
         for f in range(len(pieces[d])):
             groups.setdefault(min(BLOCK, len(p) - f * BLOCK), []).append((d, f))
-    for n, places in groups.items():
-        x = np.frombuffer(b"".join(payloads[d][f * BLOCK : f * BLOCK + n] for d, f in places), np.uint8).reshape(-1, n).astype(np.int64) - 128
-        data, size = frames(x, np.array([f for _, f in places]))
-        data, upto = data.tobytes(), np.cumsum(size).tolist()
-        for (d, f), a, b in zip(places, [0, *upto], upto, strict=False):
-            pieces[d][f] = data[a:b]
+    for n, every in groups.items():
+        many = max(1, AT_ONCE // n)
+        for places in (every[k : k + many] for k in range(0, len(every), many)):
+            x = np.frombuffer(b"".join(payloads[d][f * BLOCK : f * BLOCK + n] for d, f in places), np.uint8).reshape(-1, n).astype(np.int64) - 128
+            data, size = frames(x, np.array([f for _, f in places]))
+            data, upto = data.tobytes(), np.cumsum(size).tolist()
+            for (d, f), a, b in zip(places, [0, *upto], upto, strict=False):
+                pieces[d][f] = data[a:b]
     out = []
     for p, fs in zip(payloads, pieces, strict=True):
         sizes = [len(f) for f in fs]
@@ -338,32 +377,49 @@ def read_frames(bits: Bits, start: np.ndarray, depth: int) -> tuple[list[np.ndar
     return out, stop
 
 
-def decode(streams: list[bytes]) -> list[np.ndarray]:
-    """(channels, samples) of each stream; streams with full seek tables are read together."""
+def pcm(streams: list[bytes]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(stream, first sample, (channels, samples)): stretches of each stream, in order. Streams with full seek tables are
+    read together, AT_ONCE samples at a time; the MD5 of each is verified at its end."""
     infos = [Stream(s) for s in streams]
-    base = np.cumsum([0] + [len(s) for s in streams])
-    bits = Bits(b"".join(streams))
-    out: list = [None] * len(streams)
-    for depth in {i.depth for i in infos if i.whole}:
-        own = [(d, base[d] + i.first + place) for d, i in enumerate(infos) if i.whole and i.depth == depth for _, place, _ in i.seek]
-        got, _ = read_frames(bits, np.array([p for _, p in own]), depth)
-        parts: dict[int, list] = {}
-        for (d, _), x in zip(own, got, strict=True):
-            parts.setdefault(d, []).append(x)
-        for d, xs in parts.items():
-            out[d] = np.hstack(xs)
+    sums = [hashlib.md5() for _ in streams]
+
+    def told(d: int, first: int, x: np.ndarray) -> tuple[int, int, np.ndarray]:
+        sums[d].update(np.ascontiguousarray(x.T).astype("<i4").view(np.uint8).reshape(-1, 4)[:, : (infos[d].depth + 7) // 8].tobytes())
+        return d, first, x
+
+    base = np.cumsum([0] + [len(s) for s in streams]).tolist()
+    raw = streams[0] if len(streams) == 1 else b"".join(streams)
+    for depth in sorted({i.depth for i in infos if i.whole}):
+        own = [(d, base[d] + i.first + place, first, n) for d, i in enumerate(infos) if i.whole and i.depth == depth for first, place, n in i.seek]
+        upto = np.cumsum([n for *_, n in own])
+        a = 0
+        while a < len(own):
+            z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + AT_ONCE, "right")))
+            part = own[a:z]
+            stop = base[part[-1][0] + 1] if z == len(own) or own[z][0] != part[-1][0] else own[z][1]
+            got, _ = read_frames(Bits(raw[part[0][1] : stop]), np.array([p for _, p, *_ in part]) - part[0][1], depth)
+            cuts = [0, *(k for k in range(1, len(part)) if part[k][0] != part[k - 1][0]), len(part)]
+            for k, m in zip(cuts, cuts[1:], strict=False):
+                yield told(part[k][0], part[k][2], np.hstack(got[k:m]))
+            a = z
     for d, i in enumerate(infos):
         if not i.whole:
-            at, xs = base[d] + i.first, []
-            while at < base[d + 1]:
+            bits, at, first = Bits(streams[d]), i.first, 0
+            while at < len(streams[d]):
                 (x,), (at,) = read_frames(bits, np.array([at]), i.depth)
-                xs.append(x)
-            out[d] = np.hstack(xs) if xs else np.zeros((i.channels, 0), np.int64)
-        width = (i.depth + 7) // 8
-        raw = np.ascontiguousarray(out[d].T).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
-        if any(i.md5) and hashlib.md5(raw).digest() != i.md5:
+                yield told(d, first, x)
+                first += x.shape[1]
+    for i, own in zip(infos, sums, strict=True):
+        if any(i.md5) and own.digest() != i.md5:
             raise ValueError("FLAC: the samples' MD5 differs")
-    return out
+
+
+def decode(streams: list[bytes]) -> list[np.ndarray]:
+    """(channels, samples) of each stream."""
+    out: list[list[np.ndarray]] = [[] for _ in streams]
+    for d, _, x in pcm(streams):
+        out[d].append(x)
+    return [np.hstack(xs) if xs else np.zeros((Stream(s).channels, 0), np.int64) for s, xs in zip(streams, out, strict=True)]
 
 
 def seek_pcm(stream: bytes, sample: int) -> tuple[int, np.ndarray]:
@@ -399,9 +455,23 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in group], b.column(0).type), pa.array([n for _, n, _ in group], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
-def feature(x: np.ndarray) -> str:
-    """Samples, mean, energy, sign changes and peak, all from whole numbers."""
-    return f"{x.size}:{x.sum() / x.size:.4f}:{(x * x).sum() / x.size:.4f}:{int(((x[1:] < 0) != (x[:-1] < 0)).sum())}:{int(abs(x).max())}"
+class Fold:
+    """What the query tells of a payload, from its samples as they come."""
+
+    def __init__(self):
+        self.sha, self.tail, self.n, self.sum, self.energy, self.turns, self.peak, self.last = hashlib.sha256(), b"", 0, 0, 0, 0, 0, None
+
+    def add(self, x: np.ndarray) -> None:
+        raw = (x + 128).astype(np.uint8).tobytes()
+        self.sha.update(raw)
+        self.tail = (self.tail + raw[-64:])[-64:]
+        below = x < 0
+        self.turns += int((below[1:] != below[:-1]).sum()) + (self.last is not None and self.last != bool(below[0]))
+        self.n, self.sum, self.energy, self.peak, self.last = self.n + x.size, self.sum + int(x.sum()), self.energy + int((x * x).sum()), max(self.peak, int(abs(x).max())), bool(below[-1])
+
+    def feature(self) -> str:
+        """Samples, mean, energy, sign changes and peak, all from whole numbers."""
+        return f"{self.n}:{self.sum / self.n:.4f}:{self.energy / self.n:.4f}:{self.turns}:{self.peak}"
 
 
 READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -411,20 +481,21 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (x.as_py() for x in b.column(2)), strict=True)
         for group in grouped(rows, lambda r: len(r[2])):
-            out = []
-            for (k, n, media), x in zip(group, decode([m for _, _, m in group]), strict=True):
-                raw = (x[0] + 128).astype(np.uint8).tobytes()
-                out.append((k, n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(x[0])))
+            folds = [Fold() for _ in group]
+            for d, _, x in pcm([m for _, _, m in group]):
+                folds[d].add(x[0])
+            out = [(k, n, f.n, f.sha.hexdigest(), zlib.crc32(f.tail), len(media), hashlib.sha256(media).hexdigest(), f.feature()) for (k, n, media), f in zip(group, folds, strict=True)]
             yield pa.RecordBatch.from_pylist([dict(zip((c.split()[0] for c in READ.split(", ")), r, strict=True)) for r in out], pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in READ.split(", ")]))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k, media in zip(b.column(0).to_pylist(), (x.as_py() for x in b.column(1)), strict=True):
-            x = decode([media])[0].T
-            first = list(range(0, len(x), BLOCK))
-            pcm = [np.ascontiguousarray(x[a : a + BLOCK]).astype("<i4").tobytes() for a in first]
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(first), b.column(0).type), pa.array(first, pa.int64()), pa.array([min(BLOCK, len(x) - a) for a in first], pa.int64()), pa.array(pcm, pa.binary())], ["doc_id", "first_sample", "n_samples", "pcm"])
+            for _, start, x in pcm([media]):
+                x = x.T
+                first = list(range(0, len(x), BLOCK))
+                blocks = [np.ascontiguousarray(x[a : a + BLOCK]).astype("<i4").tobytes() for a in first]
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(first), b.column(0).type), pa.array([start + a for a in first], pa.int64()), pa.array([min(BLOCK, len(x) - a) for a in first], pa.int64()), pa.array(blocks, pa.binary())], ["doc_id", "first_sample", "n_samples", "pcm"])
 
 
 def stored(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -440,4 +511,5 @@ def pcm_blocks(spark: SparkSession, media: DataFrame) -> DataFrame:
 
 
 def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, table(spark, sf_dir, "documents")).mapInArrow(_read, READ)
+    media = written(spark, stored(spark, table(spark, sf_dir, "documents")), "media")
+    return media.mapInArrow(_read, READ)

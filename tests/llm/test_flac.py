@@ -174,3 +174,39 @@ def test_checksums():
     a, b = np.array([0, 3, 50]), np.array([20, 4, 200])
     for bits, poly in ((8, 0x07), (16, 0x8005)):
         assert flac.crc(raw, a, b, bits).tolist() == [crc_slow(raw[x:y].tobytes(), poly, bits) for x, y in zip(a, b, strict=True)]
+
+
+def test_the_writer_predicts_linearly():
+    """A tone in noise is shorter with a linear predictor; frames of any length, shorter than its order too."""
+    wave = (60 * np.sin(np.arange(40 * flac.BLOCK) / 3) + 20 * np.sin(np.arange(40 * flac.BLOCK) / 1.7)).astype(np.int64)
+    p = (wave + 128).astype(np.uint8).tobytes()
+    stream = flac.encode([p])[0]
+    info = flac.Stream(stream)
+    kinds = {stream[info.first + place + 6 : info.first + place + 9] for _, place, _ in info.seek[:3]}
+    heads = [stream[info.first + place + 6] for _, place, _ in info.seek[:100]]
+    assert kinds and heads.count(2 * (31 + flac.LPC)) > 20 and len(stream) < 0.75 * len(p)
+    for n in range(1, 12):
+        for k in (p[:n], p[: flac.BLOCK + n]):
+            assert (flac.decode(flac.encode([k]))[0][0] + 128).astype(np.uint8).tobytes() == k
+
+
+@pytest.mark.filterwarnings("error")
+def test_long_texts_go_through_in_parts(monkeypatch):
+    """The same streams and features however many samples go at once; a long text's work is in parts."""
+    texts = [prose(6, 9_000), "z" * 5_000, prose(7, 30), ""]
+    payloads = [flac.payload(t) for t in texts]
+    whole = flac.encode(payloads)
+    fold = lambda: [(f.n, f.sha.hexdigest(), f.tail, f.feature()) for f in folded(whole)]
+
+    def folded(streams):
+        out = [flac.Fold() for _ in streams]
+        for d, _, x in flac.pcm(streams):
+            out[d].add(x[0])
+        return out
+
+    want = fold()
+    assert [w[1] for w in want] == [hashlib.sha256(p).hexdigest() for p in payloads] and [w[2] for w in want] == [p[-64:] for p in payloads]
+    monkeypatch.setattr(flac, "AT_ONCE", 1024)
+    assert flac.encode(payloads) == whole and fold() == want
+    assert max(x.shape[1] for _, _, x in flac.pcm(whole)) <= 1024
+    assert [f for d, f, _ in flac.pcm(whole) if d == 0] == list(range(0, len(payloads[0]), 1024))
