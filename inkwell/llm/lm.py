@@ -1,15 +1,21 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, memory-mapped to score.
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays, memory-mapped to score.
 
-Words are 48-bit ids (a polynomial hash of their bytes, computed for whole blocks of text at once, then mixed). Three
-shuffles build the model: word counts; bigram counts, dealt by a 64-bit key whose top comes from the history (from
-the pair, for histories more frequent than a quarter of a shard's share, so that no shard holds one hot word's
-continuations alone); and continuation counts, dealt by the second word. What is shuffled is combined per task and
-packed (sorted, differences, byte planes, zstd). Each shard's task writes its sorted arrays to the shared folder
-under a temporary name and renames them, so a task run again after a lost executor leaves the same files. Scoring
-maps the files and looks up each block's distinct queries in sorted order; no task holds more than a shard.
+Words are 64-bit fingerprints of their bytes; the word table keeps a second one beside each, which a lookup must meet
+too, so that what is counted by word (c, N, V and the base score) rests on 128 bits. A history is a fingerprint of its
+words, and an n-gram a 64-bit key whose top comes from the history (from the n-gram, if the history's last word is more
+frequent than a quarter of a shard's share, so that no shard holds one hot word's continuations alone).
 
-p(w|h) = max(c(hw) - D(c), 0) / c(h) + g(h) p1(w); p1 is the like of it over continuation counts, interpolated with
-1 / (V + 1), where the one more is for unknown words. Discounts come from counts of counts. p sums to 1 for any h.
+For a model of some order the n-grams of that order are counted in the texts, dealt by key. Each shard writes its own
+and hands on, for the next lower order, how many different n-grams end in each shorter one, and so down to words: one
+shuffle an order. What is shuffled is combined per task and packed (sorted, differences, byte planes, zstd). Each
+shard's task writes one file of sorted arrays to the shared folder under a temporary name and renames it, so a task run
+again after a lost executor leaves the same files. Scoring maps the files (MAPS at a time) and looks up each block's
+distinct n-grams in sorted order; no task holds more than a shard.
+
+p_k(w|h) = max(c(hw) - D(c), 0) / c(h) + g(h) p_{k-1}(w|shorter h); p_1 is the like of it over continuation counts of
+words, interpolated with 1 / (V + 1), where the one more is for unknown words. c is the count in the texts at the
+highest order, below it the number of different words before. Discounts come from counts of counts, order by order. p
+sums to 1 for any h.
 
 Defined cases: null and empty texts are one end token; a null doc_id counts as '' for the split; without training
 rows N and V are 0, every probability is 1 and base terms are log10(0.1 / 0.1); repeated rows count and score each;
@@ -19,58 +25,70 @@ texts are read whole, in blocks; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import io
+import json
 import os
-import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm.hashing import U, fingerprints, mixed
-from inkwell.llm.shared import scratch_path, ship, table
+from inkwell.llm.shared import release, scratch_path, ship, table, written
 
-FOLDS, BLOCK = 10, 1 << 21
+ORDER, FOLDS, BLOCK = 2, 10, 1 << 20
+MAPS, HELD = 128, 1 << 20  # files mapped at a time; n-grams combined at a time
 END, BEGIN = U(1), U(2)  # ids of words are larger
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+NONE = np.zeros(0, U)
 
 
-def word_ids(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and starts of the words in raw."""
+def word_ids(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, second fingerprints and starts of the words in raw."""
     b = LOWER[np.frombuffer(raw, np.uint8)]
     gap = SPACE[b]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
     start, stop = edge[::2], edge[1::2]
-    return np.maximum(fingerprints(b, start, stop)[0] >> U(16), U(3)), start
+    ids, sure = fingerprints(b, start, stop)
+    return np.maximum(ids, U(3)), sure, start
 
 
-def tokens(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of (word, history, index of text); every text ends with END. A long text comes in several blocks."""
+def blocks(texts: list[str | None], order: int = ORDER) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """Blocks of (word, second fingerprint, histories of 1 to order - 1 words, index of text); every text ends with END.
+    A long text comes in several blocks."""
 
-    def block(parts: list[tuple[int, bytes, bool]], last: U):
+    def block(parts: list[tuple[int, bytes, bool]], last: np.ndarray):
         raw = b"\n".join(p for _, p, _ in parts)
         offset = np.cumsum([0] + [len(p) + 1 for _, p, _ in parts])
-        ids, start = word_ids(raw)
+        ids, sure, start = word_ids(raw)
         part = np.searchsorted(offset, start, "right") - 1
         n = np.bincount(part, minlength=len(parts))
         ends = np.array([e for _, _, e in parts])
         size = n + ends
-        out = np.empty(size.sum(), U)
+        out, check = np.full(size.sum(), END, U), np.full(size.sum(), END, U)
         upto = np.cumsum(size)
         at = np.ones(len(out), bool)
         at[upto[ends] - 1] = False
-        out[at], out[~at] = ids, END
-        before = np.concatenate([[last], out[:-1]]) if len(out) else out
-        before = np.where(before == END, BEGIN, before)
-        return out, before, np.repeat(np.array([k for k, _, _ in parts]), size)
-
-    parts, n, last = [], 0, END
+        out[at], check[at] = ids, sure
+        run = np.concatenate([last, out])  # with the words before the block
+        past, h, told = np.zeros(len(out), bool), None, []
+        for k in range(1, order):
+            word = run[order - 1 - k : len(run) - k]
+            past |= word == END  # the text before
+            word = np.where(past, BEGIN, word)
+            h = word if h is None else mixed(h * U(0xD1342543DE82EF95) ^ mixed(word))
+            told.append(h)
+        return (out, check, told, np.repeat(np.array([k for k, _, _ in parts]), size)), run[len(run) - order + 1 :]
+
+    parts, n, last = [], 0, np.full(order - 1, END, U)
     for k, text in enumerate(texts):
         raw, at = (text or "").encode(), 0
         while True:
@@ -83,21 +101,26 @@ def tokens(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np
             n += cut - at
             at = cut
             if n >= BLOCK:
-                out = block(parts, last)
-                last = out[0][-1] if len(out[0]) else last
+                out, last = block(parts, last)
                 yield out
                 parts, n = [], 0
             if at >= len(raw):
                 break
     if parts:
-        yield block(parts, last)
+        yield block(parts, last)[0]
+
+
+def tokens(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (word, the word before, index of text)."""
+    for w, _, h, k in blocks(texts, 2):
+        yield w, h[0], k
 
 
 def packed(*columns: np.ndarray) -> bytes:
     """Columns of one length; the first, sorted, as differences; byte planes under zstd."""
     first = np.diff(columns[0], prepend=U(0))
     planes = [np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in (first, *columns[1:])]
-    return zstandard.compress(len(first).to_bytes(8, "little") + b"".join(planes), 3)
+    return zstandard.compress(len(first).to_bytes(8, "little") + b"".join(planes), 1)
 
 
 def unpacked(blob: bytes, n: int) -> list[np.ndarray]:
@@ -108,126 +131,176 @@ def unpacked(blob: bytes, n: int) -> list[np.ndarray]:
     return out
 
 
-def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order, each value summed."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return (keys[at], *(np.add.reduceat(v[order], at) if len(at) else v for v in values))
+def same_as_before(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows repeat the row before."""
+    out = np.ones(len(columns[0]), bool)
+    out[:1] = False
+    for c in columns:
+        out[1:] &= c[1:] == c[:-1]
+    return out
+
 
+def summed(keys: list[np.ndarray], *values: np.ndarray) -> list[np.ndarray]:
+    """Distinct rows of keys, in order, each value summed."""
+    order = np.argsort(keys[0], kind="stable")
+    cols = [k[order] for k in keys]
+    if len(keys) > 1:
+        first = same_as_before(cols[0])
+        if (first & ~same_as_before(*cols)).any():  # rows of one first key that differ: they need the full order
+            order = np.lexsort(keys[::-1])
+            cols = [k[order] for k in keys]
+    at = np.flatnonzero(~same_as_before(*cols))
+    return [*(c[at] for c in cols), *(np.add.reduceat(v[order], at) if len(at) else v for v in values)]
 
-def shard_of(key: np.ndarray, shards: int, bits: int) -> np.ndarray:
-    """In the order of the keys."""
-    return ((key >> U(bits - 32)) * U(shards) >> U(32)).astype(np.int64)
 
+def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    """By the top 24 bits, in the order of the keys."""
+    return ((key >> U(40)) * U(shards) >> U(24)).astype(np.int64)
 
-def by_shard(shard: np.ndarray, shards: int, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+
+def by_shard(shard: np.ndarray, shards: int, *columns: np.ndarray) -> list[tuple[int, bytes]]:
+    """Columns in the order of shards, the first in its order within each."""
     cuts = np.searchsorted(shard, np.arange(shards + 1))
-    for s in np.flatnonzero(np.diff(cuts)):
-        yield int(s), packed(*(c[cuts[s] : cuts[s + 1]] for c in columns))
+    return [(int(s), packed(*(c[cuts[s] : cuts[s + 1]] for c in columns))) for s in np.flatnonzero(np.diff(cuts))]
+
 
+def _batch(rows: list[tuple[int, bytes]], kind: int = 0) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["shard", "kind", "blob"])
 
-def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["shard", "blob"])
+
+PACKS = "shard int, kind int, blob binary"
 
 
 class Store:
-    """Arrays by name in one folder: local files, or any file system that pyarrow can reach."""
+    """Files of named arrays in one folder: memory-mapped where it is local, else read into memory; MAPS at a time."""
 
     def __init__(self, uri: str):
         self.uri, self.local = uri, urlparse(uri).path if urlparse(uri).scheme in ("", "file") else None
-        self.seen: dict[str, np.ndarray] = {}
+        self.seen: OrderedDict[str, dict[str, np.ndarray]] = OrderedDict()
+
+    def put(self, name: str, **arrays: np.ndarray) -> None:
+        """A line that tells type, place and length of each array, then the arrays."""
+        told, at = {}, 0
+        for k, x in arrays.items():
+            told[k] = [x.dtype.str, at, len(x)]
+            at += -(-x.nbytes // 16) * 16
+        line = json.dumps(told).encode()
+        line += b" " * (-(len(line) + 1) % 16) + b"\n"
+
+        def fill(f):
+            f.write(line)
+            for x in arrays.values():
+                f.write(np.ascontiguousarray(x).tobytes() + bytes(-x.nbytes % 16))
 
-    def put(self, name: str, x: np.ndarray) -> None:
         if self.local:
             os.makedirs(self.local, exist_ok=True)
             temporary = f"{self.local}/.{name}-{uuid.uuid4().hex}"
             with open(temporary, "wb") as f:
-                np.save(f, x)
-            os.replace(temporary, f"{self.local}/{name}.npy")
+                fill(f)
+            os.replace(temporary, f"{self.local}/{name}.arrays")
         else:
             from pyarrow.fs import FileSystem
 
             fs, path = FileSystem.from_uri(self.uri)
-            out = io.BytesIO()
-            np.save(out, x)
             fs.create_dir(path)
-            with fs.open_output_stream(f"{path}/.{name}-{(tag := uuid.uuid4().hex)}") as f:
-                f.write(out.getbuffer())
-            fs.move(f"{path}/.{name}-{tag}", f"{path}/{name}.npy")
-
-    def get(self, name: str) -> np.ndarray:
-        """Memory-mapped; empty if there is no such array (a shard that got no rows)."""
-        if name not in self.seen:
-            self.seen[name] = self._map(name)
+            tag = uuid.uuid4().hex
+            with fs.open_output_stream(f"{path}/.{name}-{tag}") as f:
+                fill(f)
+            fs.move(f"{path}/.{name}-{tag}", f"{path}/{name}.arrays")
+
+    def get(self, name: str) -> dict[str, np.ndarray]:
+        """No arrays if there is no such file (a shard that got no rows)."""
+        if name in self.seen:
+            self.seen.move_to_end(name)
+        else:
+            self.seen[name] = self._read(name)
+            while len(self.seen) > MAPS:
+                self.seen.popitem(last=False)
         return self.seen[name]
 
-    def _map(self, name: str) -> np.ndarray:
-        path = f"{self.local}/{name}.npy"
-        if not self.local:
+    def _read(self, name: str) -> dict[str, np.ndarray]:
+        if self.local:
+            path = f"{self.local}/{name}.arrays"
+            if not os.path.exists(path):
+                return {}
+            raw = np.memmap(path, np.uint8, "r")
+        else:
             from pyarrow.fs import FileSystem, FileType
 
             fs, root = FileSystem.from_uri(self.uri)
-            if fs.get_file_info(f"{root}/{name}.npy").type == FileType.NotFound:
-                return np.zeros(0, U)
-            with tempfile.NamedTemporaryFile(suffix=".npy") as f:  # stays mapped after the name is gone
-                f.write(fs.open_input_stream(f"{root}/{name}.npy").read())
-                f.flush()
-                return np.load(f.name, mmap_mode="r")
-        return np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, U)
-
-    def find(self, kind: str, shards: int, bits: int, keys: np.ndarray, n: int) -> list[np.ndarray]:
-        """The n values of each of the sorted keys, 0 where there is none."""
-        out = [np.zeros(len(keys), np.int64) for _ in range(n)]
-        cuts = np.searchsorted(shard_of(keys, shards, bits), np.arange(shards + 1))
+            if fs.get_file_info(f"{root}/{name}.arrays").type == FileType.NotFound:
+                return {}
+            with fs.open_input_stream(f"{root}/{name}.arrays") as f:
+                raw = np.frombuffer(f.read(), np.uint8)
+        size = 64
+        while (line := bytes(raw[:size])).find(b"\n") < 0:
+            size *= 2
+        start = line.find(b"\n") + 1
+        return {k: raw[start + at : start + at + np.dtype(t).itemsize * n].view(t) for k, (t, at, n) in json.loads(line[:start]).items()}
+
+    def find(self, kind: str, shards: int, keys: np.ndarray, names: list[str], sure: np.ndarray | None = None) -> list[np.ndarray]:
+        """The values by names of each of the sorted keys, 0 where there is none; sure: what must stand beside the key."""
+        out = [np.zeros(len(keys), np.int64) for _ in names]
+        cuts = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(cuts)):
-            own, known = keys[cuts[s] : cuts[s + 1]], self.get(f"{kind}-{s}-key")
-            if len(known):
-                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                hit = np.flatnonzero(known[at] == own)
-                for k in range(n):
-                    out[k][cuts[s] + hit] = self.get(f"{kind}-{s}-{k}")[at[hit]]
+            own, held = keys[cuts[s] : cuts[s + 1]], self.get(f"{kind}-{s}")
+            if len(known := held.get(f"{names[0]}_key", NONE)):
+                at = np.searchsorted(known, own)
+                live = np.flatnonzero(at < len(known))
+                live = live[known[at[live]] == own[live]]
+                if sure is not None:
+                    want, beside = sure[cuts[s] : cuts[s + 1]], held[f"{names[0]}_sure"]
+                    while len(miss := live[beside[at[live]] != want[live]]):  # two words of one id: the next row may be it
+                        at[miss] += 1
+                        ok = at < len(known)
+                        live = live[ok[live]]
+                        live = live[known[at[live]] == own[live]]
+                for o, name in zip(out, names, strict=True):
+                    o[cuts[s] + live] = held[name][at[live]]
         return out
 
 
+def small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint8 if not len(x) or x.max() < 256 else np.uint32 if x.max() < 1 << 32 else np.int64)
+
+
 def _count_words(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.zeros(0, U), np.zeros(0, np.int64)
+        held = [NONE, NONE, np.zeros(0, np.int64)]
+
+        def flush():
+            return _batch(by_shard(shard_of(held[0], shards), shards, *held))
+
         for b in batches:
-            for w, _, _ in tokens(b.column(0).to_pylist()):
-                x, c = np.unique(w, return_counts=True)
-                keys, n = np.concatenate([keys, x]), np.concatenate([n, c])
-                if len(keys) > 1 << 21:
-                    keys, n = summed(keys, n)
-                    if len(keys) > 1 << 20:
-                        yield _batch(list(by_shard(shard_of(keys, shards, 48), shards, keys, n)))
-                        keys, n = keys[:0], n[:0]
-        keys, n = summed(keys, n)
-        yield _batch(list(by_shard(shard_of(keys, shards, 48), shards, keys, n)))
+            for w, sure, _, _ in blocks(b.column(0).to_pylist()):
+                fresh = summed([w, sure], np.ones(len(w), np.int64))
+                held = summed([np.concatenate(x) for x in zip(held[:2], fresh[:2], strict=True)], np.concatenate([held[2], fresh[2]]))
+                if len(held[0]) > HELD:
+                    yield flush()
+                    held = [NONE, NONE, np.zeros(0, np.int64)]
+        yield flush()
 
     return run
 
 
 def merged(tbl: pa.Table, n: int) -> list[np.ndarray]:
     parts = [unpacked(b.as_py(), n) for b in tbl.column("blob")]
-    return [np.concatenate([p[k] for p in parts]) for k in range(n)]
+    return [np.concatenate([p[k] for p in parts]) if parts else NONE for k in range(n)]
 
 
 def _keep_words(uri: str):
     def run(key, tbl):
-        s, store = key[0].as_py(), Store(uri)
-        words, n = summed(*merged(tbl, 2))
-        store.put(f"word-{s}-key", words)
-        store.put(f"word-{s}-0", n.astype(np.int64))
+        words, sure, n = summed(*(lambda c: ([c[0], c[1]], c[2].astype(np.int64)))(merged(tbl, 3)))
+        Store(uri).put(f"word-{key[0].as_py()}", n_key=words, n_sure=sure, n=n)
         return pa.table({"tokens": pa.array([int(n.sum())], pa.int64()), "words": pa.array([len(words)], pa.int64())})
 
     return run
 
 
-def pair_keys(h: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Sorted, a history's pairs lie together, unless it is hot: then they lie anywhere."""
+def gram_keys(h: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Sorted, a history's n-grams lie together, unless it is hot: then they lie anywhere."""
     m = mixed(h * U(0x9E3779B97F4A7C15) ^ mixed(w))
-    return np.where(hot, m, (h >> U(24)) << U(40) | m >> U(24))
+    return np.where(hot, m, (h >> U(40)) << U(40) | m >> U(24))
 
 
 _stores: dict[str, Store] = {}
@@ -242,86 +315,100 @@ def store_of(uri: str) -> Store:
 
 def hot_words(store: Store, shards: int, words: np.ndarray, limit: float) -> np.ndarray:
     """Whether each word is more frequent than limit (BEGIN, like END, opens every text)."""
-    sure, back = np.unique(np.where(words == BEGIN, END, words), return_inverse=True)
-    return (store.find("word", shards, 48, sure, 1)[0] > limit)[back]
+    ids, back = np.unique(np.where(words == BEGIN, END, words), return_inverse=True)
+    return (store.find("word", shards, ids, ["n"])[0] > limit)[back]
+
+
+def combined(key: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> list[np.ndarray]:
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(~same_as_before(key))
+    return [key[at], *(c[order][at] for c in columns), np.add.reduceat(n[order], at) if len(at) else n]
 
 
-def _count_pairs(uri: str, shards: int, limit: float):
-    def flush(keys, h, w, n):
-        shard = shard_of(keys, shards, 64)
-        order = np.lexsort((w, h, shard))
-        return _batch(list(by_shard(shard[order], shards, h[order], w[order], n[order])))
+def dealt(shards: int, key: np.ndarray, columns: list[np.ndarray], n: np.ndarray, kind: int = 0) -> pa.RecordBatch:
+    """Rows for their shards, without the key, which follows from the rest, in the order of the longest history."""
+    shard = shard_of(key, shards)
+    order = np.lexsort((columns[-1], columns[0], shard))
+    return _batch(by_shard(shard[order], shards, *(c[order] for c in columns), n[order]), kind)
 
-    def combine(keys, h, w, n):
-        order = np.argsort(keys)
-        keys, h, w, n = keys[order], h[order], w[order], n[order]
-        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        return keys[at], h[at], w[at], np.add.reduceat(n, at) if len(at) else n
+
+def _count_grams(uri: str, shards: int, limit: float, order: int):
+    """N-grams of the texts as (histories, longest first, word, count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, none = store_of(uri), (np.zeros(0, U), np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64))
+        store, none = store_of(uri), [NONE] * (order + 1) + [np.zeros(0, np.int64)]
         held = none
         for b in batches:
-            for w, h, _ in tokens(b.column(0).to_pylist()):
-                fresh = combine(pair_keys(h, w, hot_words(store, shards, h, limit)), h, w, np.ones(len(w), np.int64))
-                held = tuple(np.concatenate(x) for x in zip(held, fresh, strict=True))
-                if len(held[0]) > 3 << 20:
-                    held = combine(*held)
-                    if len(held[0]) > 3 << 19:
-                        yield flush(*held)
+            for w, _, h, _ in blocks(b.column(0).to_pylist(), order):
+                key = gram_keys(h[-1], w, hot_words(store, shards, h[0], limit))
+                fresh = combined(key, [*h[::-1], w], np.ones(len(w), np.int64))
+                held = [np.concatenate(x) for x in zip(held, fresh, strict=True)]
+                if len(held[0]) > 2 * HELD:
+                    held = combined(held[0], held[1:-1], held[-1])
+                    if len(held[0]) > HELD:
+                        yield dealt(shards, held[0], held[1:-1], held[-1])
                         held = none
-        yield flush(*combine(*held))
+        held = combined(held[0], held[1:-1], held[-1])
+        yield dealt(shards, held[0], held[1:-1], held[-1])
 
     return run
 
 
-def _keep_pairs(uri: str, shards: int, limit: float):
-    """Writes the shard's pairs and its own histories; hands on continuations and the parts of hot histories."""
+def stats_of(n: np.ndarray) -> list[np.ndarray]:
+    return [n, *((n == k).astype(np.int64) for k in (1, 2)), (n >= 3).astype(np.int64)]
+
+
+STATS = ["total", "one", "two", "more"]
+
+
+def _keep_grams(uri: str, shards: int, limit: float, order: int):
+    """Writes the shard's n-grams and its own histories; hands on what the next lower order counts (kind 0) and the parts
+    of hot histories (kind 1)."""
 
     def run(key, tbl):
         s, store = key[0].as_py(), store_of(uri)
-        h, w, n = merged(tbl, 3)
-        n = n.astype(np.int64)
-        hot = hot_words(store, shards, h, limit)
-        keys = pair_keys(h, w, hot)
-        order = np.argsort(keys)
-        keys, h, w, n, hot = keys[order], h[order], w[order], n[order], hot[order]
-        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        n, keys, h, w, hot = np.add.reduceat(n, at), keys[at], h[at], w[at], hot[at]
-        store.put(f"pair-{s}-key", keys)
-        store.put(f"pair-{s}-0", np.minimum(n, 255).astype(np.uint8))
+        *columns, n = merged(tbl.filter(pa.compute.equal(tbl.column("kind"), 0)), order + 1)
+        h, w = columns[:-1], columns[-1]
+        hot = hot_words(store, shards, h[-1], limit)
+        keys, *columns, hot, n = combined(gram_keys(h[0], w, hot), [*columns, hot], n.astype(np.int64))
+        h, w = columns[:-1], columns[-1]
+        own = summed([h[0][~hot]], *(x[~hot] for x in stats_of(n)))
         many = n >= 255
-        store.put(f"many-{s}-key", keys[many])
-        store.put(f"many-{s}-0", n[many])
-        parts = (n, *((n == k).astype(np.int64) for k in (1, 2)), (n >= 3).astype(np.int64))
-        own = summed(h[~hot], *(p[~hot] for p in parts))
-        store.put(f"past-{s}-key", own[0])
-        for k, v in enumerate(own[1:]):
-            store.put(f"past-{s}-{k}", v.astype(np.uint32 if k == 0 and v.max(initial=0) < 2**32 else np.int64 if k == 0 else np.uint32))
-        store.put(f"seen-{s}", np.array([(n == k).sum() for k in range(1, 5)]))
-        follow = summed(w, np.ones(len(w), np.int64))
-        rows = [(t, 0, blob) for t, blob in by_shard(shard_of(follow[0], shards, 48), shards, *follow)]
-        part = summed(h[hot], *(p[hot] for p in parts))
-        rows += [(t, 1, blob) for t, blob in by_shard(shard_of(part[0], shards, 48), shards, *part)]
-        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "blob": pa.array([r[2] for r in rows], pa.binary())})
+        store.put(f"gram{order}-{s}", n_key=keys, n=np.minimum(n, 255).astype(np.uint8), many_key=keys[many], many=n[many], total_key=own[0], **{k: small(x) for k, x in zip(STATS, own[1:], strict=True)})
+        seen = [int((n == k).sum()) for k in range(1, 5)]
+        rows = []
+        if order > 2:  # the word after each shorter history
+            lower = combined(gram_keys(h[1], w, hot), columns[1:], np.ones(len(w), np.int64))
+            rows.append(dealt(shards, lower[0], lower[1:-1], lower[-1]))
+        else:
+            follow = summed([w], np.ones(len(w), np.int64))
+            rows.append(_batch(by_shard(shard_of(follow[0], shards), shards, *follow)))
+        part = summed([h[0][hot]], *(x[hot] for x in stats_of(n)))
+        rows.append(_batch(by_shard(shard_of(part[0], shards), shards, *part), 1))
+        out = pa.Table.from_batches(rows)
+        for k, x in enumerate(seen):  # a shard's counts of counts, once
+            out = out.append_column(f"n{k + 1}", pa.array([x if r == 0 else 0 for r in range(len(out))], pa.int64()))
+        return out
+
+    return run
+
+
+def _keep_hot(uri: str, order: int):
+    """Sums the parts of hot histories of some order."""
+
+    def run(key, tbl):
+        own = summed(*(lambda c: ([c[0]], *(x.astype(np.int64) for x in c[1:])))(merged(tbl, 5)))
+        store_of(uri).put(f"hot{order}-{key[0].as_py()}", total_key=own[0], **dict(zip(STATS, own[1:], strict=True)))
+        return pa.table({"n": pa.array([len(own[0])], pa.int64())})
 
     return run
 
 
 def _keep_follows(uri: str):
     def run(key, tbl):
-        s, store = key[0].as_py(), store_of(uri)
-        kind = tbl.column("kind").to_numpy()
-        n = np.zeros(0, np.int64)
-        if (kind == 0).any():
-            words, n = summed(*merged(tbl.filter(pa.array(kind == 0)), 2))
-            store.put(f"follow-{s}-key", words)
-            store.put(f"follow-{s}-0", n.astype(np.int64))
-        if (kind == 1).any():
-            own = summed(*merged(tbl.filter(pa.array(kind == 1)), 5))
-            store.put(f"hot-{s}-key", own[0])
-            for k, v in enumerate(own[1:]):
-                store.put(f"hot-{s}-{k}", v.astype(np.int64))
+        words, n = summed(*(lambda c: ([c[0]], c[1].astype(np.int64)))(merged(tbl, 2)))
+        store_of(uri).put(f"follow-{key[0].as_py()}", n_key=words, n=n)
         return pa.table({f"f{k}": pa.array([int(x)], pa.int64()) for k, x in enumerate([n.sum(), *((n == k).sum() for k in range(1, 5)), (n >= 3).sum()])})
 
     return run
@@ -335,9 +422,10 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, uri: str, shards: int, n_tokens: int, n_words: int, limit: float, seen: list[int], follow: list[int]):
-        self.uri, self.shards, self.n, self.v, self.limit = uri, shards, n_tokens, n_words, limit
-        self.d2, self.d1 = discounts(*seen), discounts(*follow[1:5])
+    def __init__(self, uri: str, shards: int, n_tokens: int, n_words: int, limit: float, seen: dict[int, list[int]], follow: list[int]):
+        """seen: counts of counts by order; follow: of words."""
+        self.uri, self.shards, self.n, self.v, self.limit, self.order = uri, shards, n_tokens, n_words, limit, max(seen)
+        self.d, self.d1 = {k: discounts(*x) for k, x in seen.items()}, discounts(*follow[1:5])
         self.follows = follow[0]
         self.spare1 = (self.d1[1] * follow[1] + self.d1[2] * follow[2] + self.d1[3] * follow[5]) / max(1, follow[0])
 
@@ -347,64 +435,67 @@ class Model:
             return np.ones(len(c))
         return (c - self.d1[np.minimum(c, 3)]) / self.follows + self.spare1 / (self.v + 1)
 
-    def block(self, w: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(count of each word, base log10, model log10)."""
+    def block(self, w: np.ndarray, h: np.ndarray | list[np.ndarray], sure: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(count of each word, base log10, model log10), given histories of 1 to order - 1 words."""
         store, s = store_of(self.uri), self.shards
-        words, back = np.unique(w, return_inverse=True)
-        count = store.find("word", s, 48, words, 1)[0]
-        p1 = self.lower(store.find("follow", s, 48, words, 1)[0])[back]
+        h = [h] if isinstance(h, np.ndarray) else h
+        words, first, back = np.unique(w, return_index=True, return_inverse=True)
+        if sure is None or (sure[first][back] == sure).all():
+            count = store.find("word", s, words, ["n"], None if sure is None else sure[first])[0][back]
+        else:  # two words of one id in this block
+            line = np.argsort(w, kind="stable")
+            count = np.empty(len(w), np.int64)
+            count[line] = store.find("word", s, w[line], ["n"], sure[line])[0]
+        p = self.lower(store.find("follow", s, words, ["n"])[0])[back]
         base = np.log10((count + 0.1) / (self.n + 0.1 * (self.v + 1)))
-        past, hback = np.unique(h, return_inverse=True)
-        hot = hot_words(store, s, past, self.limit)
-        # histories lie in the shard of their pairs' keys: the top 24 bits of a key are the history's
-        stats = np.array(store.find("past", s, 48, past, 4), float)
-        if hot.any():
-            stats[:, hot] = np.array(store.find("hot", s, 48, past[hot], 4))
-        total = stats[0]
-        spare = np.where(total > 0, self.d2[1:] @ stats[1:] / np.maximum(total, 1), 1.0)[hback]
-        total = total[hback]
-        keys, kback = np.unique(pair_keys(h, w, hot[hback]), return_inverse=True)
-        c = store.find("pair", s, 64, keys, 1)[0]
-        big = c == 255
-        if big.any():
-            c[big] = store.find("many", s, 64, keys[big], 1)[0]
-        c = c[kback]
-        p = np.where(total > 0, (c - self.d2[np.minimum(c, 3)]) / np.maximum(total, 1), 0.0) + spare * p1
-        return count[back], base[back], np.log10(p)
+        hot = hot_words(store, s, h[0], self.limit)
+        for k in range(2, self.order + 1):
+            past, at, hback = np.unique(h[k - 2], return_index=True, return_inverse=True)
+            own, d = hot[at], self.d[k]
+            # histories lie in the shard of their n-grams: the top 24 bits of a key are the history's
+            stats = np.array(store.find(f"gram{k}", s, past, STATS), float)
+            if own.any():
+                stats[:, own] = np.array(store.find(f"hot{k}", s, past[own], STATS))
+            total = stats[0]
+            spare = np.where(total > 0, d[1:] @ stats[1:] / np.maximum(total, 1), 1.0)[hback]
+            total = total[hback]
+            keys, kback = np.unique(gram_keys(h[k - 2], w, hot), return_inverse=True)
+            c = store.find(f"gram{k}", s, keys, ["n"])[0]
+            big = c == 255
+            if big.any():
+                c[big] = store.find(f"gram{k}", s, keys[big], ["many"])[0]
+            c = c[kback]
+            p = np.where(total > 0, (c - d[np.minimum(c, 3)]) / np.maximum(total, 1), 0.0) + spare * p
+        return count, base, np.log10(p)
 
 
 def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def trained(spark: SparkSession, train: DataFrame) -> Model:
+def trained(spark: SparkSession, train: DataFrame, order: int = ORDER) -> Model:
     """The model of all texts of train."""
+    if order < 2:
+        raise ValueError("an interpolated model has order 2 at least")
     ship(spark)
     uri = scratch_path(spark, "lm")
     shards = max(4, 2 * train.rdd.getNumPartitions())
     texts = train.select("text")
-    rows = texts.mapInArrow(_count_words(shards), "shard int, blob binary").groupBy("shard").applyInArrow(_keep_words(uri), "tokens long, words long")
+    rows = texts.mapInArrow(_count_words(shards), PACKS).groupBy("shard").applyInArrow(_keep_words(uri), "tokens long, words long")
     n, v = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    limit = n / (4 * shards)
-    pairs = texts.mapInArrow(_count_pairs(uri, shards, limit), "shard int, blob binary").groupBy("shard").applyInArrow(_keep_pairs(uri, shards, limit), "shard int, kind int, blob binary")
-    found = pairs.groupBy("shard").applyInArrow(_keep_follows(uri), ", ".join(f"f{k} long" for k in range(6)))
+    limit, seen = n / (4 * shards), {}
+    packs = texts.mapInArrow(_count_grams(uri, shards, limit, order), PACKS)
+    for k in range(order, 1, -1):
+        packs = written(spark, packs.groupBy("shard").applyInArrow(_keep_grams(uri, shards, limit, k), PACKS + ", n1 long, n2 long, n3 long, n4 long"), "lm-counts")
+        release(spark)  # the shuffle of the order above
+        seen[k] = [x or 0 for x in packs.agg(*[F.sum(f"n{i}") for i in range(1, 5)]).first()]
+        packs.where("kind = 1").groupBy("shard").applyInArrow(_keep_hot(uri, k), "n long").agg(F.sum("n")).first()
+        packs = packs.where("kind = 0").select("shard", "kind", "blob")
+    found = packs.groupBy("shard").applyInArrow(_keep_follows(uri), ", ".join(f"f{k} long" for k in range(6)))
     follow = [x or 0 for x in found.agg(*[F.sum(f"f{k}") for k in range(6)]).first()]
-    counts = spark.range(shards).select(F.col("id").cast("int").alias("shard")).mapInArrow(_seen(uri), "n1 long, n2 long, n3 long, n4 long")
-    seen = [x or 0 for x in counts.agg(*[F.sum(f"n{k}") for k in range(1, 5)]).first()]
     return Model(uri, shards, n, v, limit, seen, follow)
 
 
-def _seen(uri: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = Store(uri)
-        for b in batches:
-            for s in b.column(0).to_pylist():
-                x = store.get(f"seen-{s}")
-                yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) if len(x) else 0], pa.int64()) for k in range(4)], ["n1", "n2", "n3", "n4"])
-
-    return run
-
-
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -414,9 +505,9 @@ def _score(model):
         for b in batches:
             size = b.num_rows
             out = np.zeros((4, size))
-            for w, h, k in tokens(b.column(2).to_pylist()):
+            for w, sure, h, k in blocks(b.column(2).to_pylist(), m.order):
                 if len(w):
-                    count, base, score = m.block(w, h)
+                    count, base, score = m.block(w, h, sure)
                     for row, x in zip(out, (None, (count > 0).astype(float), base, score), strict=True):
                         row += np.bincount(k, x, size)
             cols = [b.column(0), b.column(1), pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(np.full(size, m.n)), pa.array(out[2]), pa.array(out[3])]
