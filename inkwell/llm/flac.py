@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm.shared import ship, table, written
 
-BLOCK, RATE, GROUP, AT_ONCE = 512, 8000, 1 << 21, 1 << 19
+BLOCK, RATE, GROUP, AT_ONCE = 512, 8000, 1 << 21, 1 << 20
 LPC, PRECISION, LINEAR = 4, 12, 3  # LINEAR: the way after the fixed predictors
 
 
@@ -264,6 +264,44 @@ def residuals(bits: Bits, pos: np.ndarray, n: int, order: int) -> tuple[np.ndarr
     return out, after
 
 
+LEADING = 16 - np.frexp(np.arange(1 << 16).astype(float))[1].astype(np.int64)  # zeros before the first 1 of 16 bits
+
+
+def residuals_together(bits: Bits, pos: np.ndarray, n: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(m, n) residuals, each row's from its order on, and the positions after them. Rows whose residuals are one Rice
+    partition, as the writer's are, are decoded side by side whatever their order; others by kind."""
+    out, after = np.zeros((len(pos), n), np.int64), pos.copy()
+    plain = (bits.get(pos, 6) == 0) & (bits.get(pos + 6, 4) != 15)
+    for o in np.unique(order[~plain]):
+        rows = np.flatnonzero(~plain & (order == o))
+        out[rows, o:], after[rows] = residuals(bits, pos[rows], n, int(o))
+    rows = np.flatnonzero(plain)
+    rows = rows[np.argsort(order[rows], kind="stable")]
+    if not len(rows):
+        return out, after
+    k, q, first = bits.get(pos[rows] + 6, 4), pos[rows] + 10, order[rows]
+    low, most, u = (1 << k) - 1, first[-1], np.zeros((n, len(rows)), np.int64)
+    wide, mask = bits.wide, (1 << 40) - 1
+    try:
+        for i in range(int(first[0]), n):
+            m = len(rows) if i >= most else int(np.searchsorted(first, i, "right"))
+            kk, at = k[:m], q[:m]
+            v = wide[at >> 3] << (at & 7) & mask
+            z = LEADING[v >> 24]
+            need = z + 1 + kk
+            u[i, :m] = z << kk | v >> 40 - need & low[:m]
+            if (far := np.flatnonzero((z == 16) | (need > 33))).size:  # longer than what one look shows
+                zz = bits.zeros(at[far])
+                u[i, far] = zz << kk[far] | bits.get(at[far] + zz + 1, kk[far])
+                need[far] = zz + 1 + kk[far]
+            at += need
+    except IndexError:
+        raise ValueError("FLAC: the stream ends within a frame") from None
+    out[rows] = (u >> 1 ^ -(u & 1)).T
+    after[rows] = q
+    return out, after
+
+
 def subframes(bits: Bits, pos: np.ndarray, n: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(m, n) samples of one channel and the positions after it."""
     head = bits.get(pos, 8)
@@ -274,37 +312,51 @@ def subframes(bits: Bits, pos: np.ndarray, n: int, depth: int) -> tuple[np.ndarr
     if len(some):
         waste[some] = bits.zeros(pos[some]) + 1
         pos[some] += waste[some]
-    out = np.zeros((len(pos), n), np.int64)
-    kinds = (head >> 1) << 8 | waste
+    out, order = np.zeros((len(pos), n), np.int64), np.full(len(pos), -1)
+    kinds, predicted = (head >> 1) << 8 | waste, []
     for kind in np.unique(kinds):
         rows, t, d = np.flatnonzero(kinds == kind), int(kind >> 8), depth - int(kind & 255)
         p = pos[rows]
         if t == 0:
-            x, p = np.repeat(bits.signed(p, d)[:, None], n, 1), p + d
+            out[rows], p = np.repeat(bits.signed(p, d)[:, None], n, 1), p + d
         elif t == 1:
-            x, p = bits.signed(p[:, None] + d * np.arange(n), d), p + d * n
+            out[rows], p = bits.signed(p[:, None] + d * np.arange(n), d), p + d * n
         elif 8 <= t <= 12 or t >= 32:
-            order = t - 8 if t < 32 else t - 31
-            warm, p = bits.signed(p[:, None] + d * np.arange(order), d), p + d * order
+            order[rows] = o = t - 8 if t < 32 else t - 31
+            out[rows[:, None], np.arange(o)], p = bits.signed(p[:, None] + d * np.arange(o), d), p + d * o
+            precision = shift = coef = None
             if t >= 32:
                 precision, shift, p = bits.get(p, 4) + 1, bits.signed(p + 4, 5), p + 9
-                coef = np.stack([bits.signed(p + i * precision, precision) for i in range(order)])
-                p = p + order * precision
-            r, p = residuals(bits, p, n, order)
-            if t >= 32:
-                y = np.zeros((n, len(rows)), np.int64)
-                y[:order] = warm.T
-                for i in range(order, n):
-                    y[i] = r[:, i - order] + ((coef * y[i - order : i][::-1]).sum(0) >> shift)
-                x = y.T
-            else:
-                for j in range(order, 0, -1):
-                    r = np.cumsum(r, 1) + np.diff(warm, j - 1, 1)[:, -1:]
-                x = np.hstack([warm, r])
+                coef = np.stack([bits.signed(p + i * precision, precision) for i in range(o)])
+                p = p + o * precision
+            predicted.append((rows, o, precision, shift, coef, d))
         else:
             raise ValueError("FLAC: reserved subframe type")
-        out[rows], pos[rows] = x << int(kind & 255), p
-    return out, pos
+        pos[rows] = p
+    own = np.flatnonzero(order >= 0)
+    if len(own):
+        if n < order.max():
+            raise ValueError("FLAC: a block is shorter than its predictor")
+        r, pos[own] = residuals_together(bits, pos[own], n, order[own])
+        place = np.zeros(len(pos), np.int64)
+        place[own] = np.arange(len(own))
+    for rows, o, precision, shift, coef, d in predicted:
+        x = r[place[rows], o:]
+        if coef is None:
+            for j in range(o, 0, -1):
+                x = np.cumsum(x, 1) + np.diff(out[rows, :o], j - 1, 1)[:, -1:]
+            out[rows, o:] = x
+        else:
+            kind = np.int32 if d + int(precision.max()) + o.bit_length() < 31 and (abs(x) < 1 << 30).all() else np.int64
+            y, x, coef, shift = np.zeros((n, len(rows)), kind), x.T.astype(kind), coef.astype(kind), shift.astype(kind)
+            y[:o] = out[rows, :o].T
+            for i in range(o, n):
+                guess = coef[0] * y[i - 1]
+                for j in range(1, o):
+                    guess += coef[j] * y[i - 1 - j]
+                y[i] = x[i - o] + (guess >> shift)
+            out[rows] = y.T
+    return out << waste[:, None], pos
 
 
 class Stream:
@@ -511,5 +563,5 @@ def pcm_blocks(spark: SparkSession, media: DataFrame) -> DataFrame:
 
 
 def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = written(spark, stored(spark, table(spark, sf_dir, "documents")), "media")
+    media = written(spark, stored(spark, table(spark, sf_dir, "documents")), "media", "zstd")
     return media.mapInArrow(_read, READ)

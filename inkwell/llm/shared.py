@@ -22,10 +22,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/inkwell-{name}-{uuid.uuid4().hex}"
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df, written to the shared folder and read again: lineage ends here, and a lost executor costs no recomputation."""
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._inkwell_path = path
     return out
