@@ -5,8 +5,9 @@ every alternative takes at most one leading space, and a lone space before a non
 A cut piece seen before comes from a bounded cache; new pieces of a batch are split by the pattern, and their distinct
 matches are merged together: matches of like length form a padded matrix of ids, every row merges its leftmost
 minimum-rank pair in each round, pair ranks come from an open-addressing hash table, finished rows leave the matrix
-and live ones are compacted. Matches over LONG bytes take the same merges from a heap over linked positions, so one
-endless word costs n log n, not n squared.
+and live ones are compacted. A match over LONG bytes is a matrix of one row, whose rounds merge all places of the least
+rank at once where these would be the next rounds' merges anyhow (no pair that comes up on the way has a lower rank),
+so an endless word takes about as many rounds as it has ranks, not as it has bytes.
 
 Defined cases: null and empty texts give no ids (SHA-256 of nothing); texts of any length are encoded whole; repeated
 rows give equal rows; an empty table gives no rows; other columns are ignored. Special tokens are ordinary text.
@@ -16,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,34 +119,42 @@ class Bpe:
             rank[k[left], j[left] - 1] = self.pair_rank(ids[k[left], j[left] - 1], best[left])
         return out
 
-    def merge_long(self, word: bytes) -> np.ndarray:
-        ids = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
-        n, none = len(ids), np.iinfo(np.int64).max
-        after, before, version = list(range(1, n + 1)), list(range(-1, n - 1)), [0] * n
-        first = self.pair_rank(np.array(ids[:-1]), np.array(ids[1:]))
-        heap = [(int(r), i, 0, 0) for i, r in enumerate(first.tolist()) if r != none]
-        heapq.heapify(heap)
-        one = lambda a, b: self.ranks.get(self.tokens[a] + self.tokens[b])
-        while heap:
-            r, i, vi, vj = heapq.heappop(heap)
-            j = after[i]
-            if version[i] != vi or j >= n or version[j] != vj or ids[i] < 0:
-                continue
-            ids[i], ids[j] = r, -1
-            version[i] += 1
-            version[j] += 1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (q := one(ids[i], ids[after[i]])) is not None:
-                    heapq.heappush(heap, (q, i, version[i], version[after[i]]))
-            if (p := before[i]) >= 0 and (q := one(ids[p], ids[i])) is not None:
-                heapq.heappush(heap, (q, p, version[p], version[i]))
-        return np.array([x for x in ids if x >= 0], "<u4")
+    def merge_row(self, word: bytes) -> np.ndarray:
+        """Ids of one long word: all places of the least rank in a round, from the left where they overlap; the leftmost
+        alone, if merging it would bring up a pair of lower rank."""
+        ids, none = self.byte_id[np.frombuffer(word, np.uint8)], np.iinfo(np.int64).max
+        rank = np.append(self.pair_rank(ids[:-1], ids[1:]), none)
+        while (best := rank.min()) != none:
+            at = np.flatnonzero(rank == best)
+            k = np.arange(len(at))
+            opens = np.maximum.accumulate(np.where(np.concatenate([[True], at[1:] != at[:-1] + 1]), k, 0))
+            at = at[(k - opens) % 2 == 0]
+            after = at[at + 2 < len(ids)] + 2
+            if (self.pair_rank(np.full(len(after), best), ids[after]) < best).any():
+                at = at[:1]
+            new = self._merged(ids, rank, at, best)
+            if len(at) > 1 and new[2] < best:
+                new = self._merged(ids, rank, at[:1], best)
+            ids, rank, _ = new
+        return ids.astype("<u4")
+
+    def _merged(self, ids: np.ndarray, rank: np.ndarray, at: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids and ranks after merging the pairs at these places, and the least of the ranks that are new."""
+        none, keep = np.iinfo(np.int64).max, np.ones(len(ids), bool)
+        keep[at + 1] = False
+        ids, rank = ids[keep], rank[keep]
+        at = at - np.arange(len(at))
+        ids[at] = best
+        near = np.concatenate([at - 1, at])
+        near = near[near >= 0]
+        rank[near] = none
+        near = near[near < len(ids) - 1]
+        rank[near] = fresh = self.pair_rank(ids[near], ids[near + 1])
+        return ids, rank, int(fresh.min(initial=none))
 
     def merge(self, words: list[bytes]) -> dict[bytes, bytes]:
         """word -> little-endian ids, for distinct non-empty words."""
-        out = {w: self.merge_long(w).tobytes() for w in words if len(w) > LONG}
+        out = {w: self.merge_row(w).tobytes() for w in words if len(w) > LONG}
         rest = sorted((w for w in words if len(w) <= LONG), key=len)
         lengths = np.array([len(w) for w in rest])
         k = 0
@@ -232,7 +240,8 @@ def blocks(texts: Iterator[tuple]) -> Iterator[list[tuple]]:
         yield out
 
 
-def encoder(name: str, digest: bool):
+def encoder(name: str, digest: bool, keep: bool = False):
+    """Counts and ids of texts, or digests and, to keep, the ids too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(name)
         for b in batches:
@@ -248,7 +257,8 @@ def encoder(name: str, digest: bool):
                         sha.append(hashlib.sha256(decoded[at : at + size]).hexdigest())
                         at += size
                     cols = [pa.array(keys, b.column(0).type), n, pa.array([hashlib.sha256(x).hexdigest() for x in coded]), pa.array(sha)]
-                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(coded, pa.binary())] if keep else cols, [*names, "ids"] if keep else names)
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), n, pa.array(coded, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
@@ -258,6 +268,24 @@ def encoder(name: str, digest: bool):
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def _decoder(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(name)
+        for b in batches:
+            for k in range(b.num_rows):  # a row at a time: its text is all that is held
+                raw = b.column(1)[k].as_py()
+                text = None if raw is None else bpe.decode(np.frombuffer(raw, "<u4"))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([text], pa.binary())], ["doc_id", "bytes"])
+
+    return run
+
+
+def decoded(spark: SparkSession, coded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, bytes) of (doc_id, ids): the text's bytes; null ids have none."""
+    ship(spark)
+    return coded.select("doc_id", "ids").mapInArrow(_decoder(vocabulary), "doc_id long, bytes binary")
+
+
 def encoded(spark: SparkSession, docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers."""
     ship(spark)
@@ -271,6 +299,6 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline's last stage: every row's ids and the digests of ids and decoded text."""
+    """Pipeline's last stage: every row's ids, and the digests of ids and decoded text."""
     ship(spark)
-    return docs.select("doc_id", "text").mapInArrow(encoder(VOCABULARY, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(encoder(VOCABULARY, True, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")

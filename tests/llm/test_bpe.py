@@ -70,3 +70,29 @@ def test_encoded_keeps_ids(spark, folder, library):
     d = folder(documents=documents(rows))
     got = bpe.encoded(spark, spark.read.parquet(f"{d}/documents.parquet")).collect()
     assert {r["doc_id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in got} == {r[0]: library.encode_ordinary(r[1] or "") for r in rows}
+
+
+def test_decoded_frames(spark, folder, library):
+    rows = odd_rows()[:12]
+    d = folder(documents=documents(rows))
+    coded = bpe.encoded(spark, spark.read.parquet(f"{d}/documents.parquet"))
+    got = {r["doc_id"]: r["bytes"] for r in bpe.decoded(spark, coded).collect()}
+    assert {k: bytes(v) for k, v in got.items()} == {r[0]: (r[1] or "").encode() for r in rows}
+    none = spark.createDataFrame([(1, None)], "doc_id long, ids binary")
+    assert bpe.decoded(spark, none).first()["bytes"] is None
+
+
+def test_stage_keeps_ids(spark, folder, library):
+    rows = odd_rows()[:8]
+    d = folder(documents=documents(rows))
+    for r in bpe.stage_bpe(spark, spark.read.parquet(f"{d}/documents.parquet"), d).collect():
+        assert hashlib.sha256(bytes(r["ids"])).hexdigest() == r["ids_sha256"] and len(r["ids"]) == 4 * r["n_tokens"]
+
+
+@pytest.mark.parametrize("k", range(6))
+def test_rows_and_matrices_agree(own, library, monkeypatch, k):
+    """Words by one-row rounds, by matrices and by the library."""
+    r = random.Random(k)
+    text = "".join(r.choice(["a", "e", "th", "in", "er", "tion", "xq", "é"][: 2 + k]) for _ in range(700))
+    want = library.encode_ordinary(text)
+    assert own.merge_row(text.encode()).tolist() == want == own.merge_matrix([text.encode()])[0].tolist()

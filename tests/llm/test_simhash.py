@@ -116,3 +116,32 @@ def test_prose_is_left_alone(spark, folder):
     rows = [(k, prose(k + 100, 150, 2_000)) for k in range(40)]
     got = simhash.op1_simhash_near_dedup(spark, folder(documents=documents(rows))).collect()
     assert all(r["component_id"] == r["doc_id"] for r in got)
+
+
+def test_links_do_not_depend_on_hot(spark):
+    """Dense clusters of fingerprints: pairs alone, stars alone and both give the same pairs within two links' reach,
+    the same components, and no link of over 2 bits but within a star of one centre."""
+    r = np.random.default_rng(9)
+    base = r.integers(-(2**62), 2**62, 12)
+    flip = lambda x, n: int(np.bitwise_xor.reduce([np.int64(x), *(np.int64(1) << np.int64(b) for b in r.choice(62, n, replace=False))]))
+    prints = sorted({flip(b, int(n)) for b in base for n in r.integers(0, 3, 70)} | {int(x) for x in r.integers(-(2**62), 2**62, 200)})
+    df = spark.createDataFrame([(x,) for x in prints], "fp long")
+    near = {(a, b) for k, a in enumerate(prints) for b in prints[k + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+
+    def closed(pairs):
+        top = {x: x for x in prints}
+
+        def find(x):
+            while top[x] != x:
+                x = top[x]
+            return x
+
+        for a, b in pairs:
+            top[max(find(a), find(b))] = min(find(a), find(b))
+        return {x: find(x) for x in prints}
+
+    for hot in (0, 32, 10**9):
+        got = {tuple(sorted(p)) for p in map(tuple, simhash.links(spark, df, hot).select("a", "b").collect())}
+        assert got <= near and closed(got) == closed(near)
+        if hot == 10**9:
+            assert got == near
