@@ -240,8 +240,7 @@ def blocks(texts: Iterator[tuple]) -> Iterator[list[tuple]]:
         yield out
 
 
-def encoder(name: str, digest: bool, keep: bool = False):
-    """Counts and ids of texts, or digests and, to keep, the ids too."""
+def encoder(name: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(name)
         for b in batches:
@@ -257,8 +256,7 @@ def encoder(name: str, digest: bool, keep: bool = False):
                         sha.append(hashlib.sha256(decoded[at : at + size]).hexdigest())
                         at += size
                     cols = [pa.array(keys, b.column(0).type), n, pa.array([hashlib.sha256(x).hexdigest() for x in coded]), pa.array(sha)]
-                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(coded, pa.binary())] if keep else cols, [*names, "ids"] if keep else names)
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), n, pa.array(coded, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
@@ -299,6 +297,6 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline's last stage: every row's ids, and the digests of ids and decoded text."""
+    """Pipeline's last stage: every row's count and the digests of ids and decoded text; encoded() has the ids."""
     ship(spark)
-    return docs.select("doc_id", "text").mapInArrow(encoder(VOCABULARY, True, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(encoder(VOCABULARY, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -82,13 +82,6 @@ def test_decoded_frames(spark, folder, library):
     assert bpe.decoded(spark, none).first()["bytes"] is None
 
 
-def test_stage_keeps_ids(spark, folder, library):
-    rows = odd_rows()[:8]
-    d = folder(documents=documents(rows))
-    for r in bpe.stage_bpe(spark, spark.read.parquet(f"{d}/documents.parquet"), d).collect():
-        assert hashlib.sha256(bytes(r["ids"])).hexdigest() == r["ids_sha256"] and len(r["ids"]) == 4 * r["n_tokens"]
-
-
 @pytest.mark.parametrize("k", range(6))
 def test_rows_and_matrices_agree(own, library, monkeypatch, k):
     """Words by one-row rounds, by matrices and by the library."""
