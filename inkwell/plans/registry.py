@@ -592,6 +592,26 @@ def files_scanned(spark, sf_dir):
     return readers.read_files(spark, path, "*.txt").select(F.regexp_extract("path", r"r_regionkey=(\d+)", 1).cast("long").alias("region"), F.col("size").cast("long").alias("size"), "text")
 
 
+@query("SELECT url AS path, CASE WHEN starts_with(url, 'https://') THEN substr(url, 9) ELSE url END AS name, strlen(html) AS size FROM pages")
+def file_records(spark, sf_dir):
+    """Records of files under a root, which their names leave out."""
+    return readers.file_records(pages(spark, sf_dir).select(F.col("url").alias("path"), F.octet_length("html").cast("long").alias("size")), "https://")
+
+
+@query("SELECT 'r' || r_regionkey || '.txt' AS name FROM region WHERE r_regionkey < 3")
+def files_ignored(spark, sf_dir):
+    """Own files are left out of a scan."""
+    path = folder(spark, "own")
+    names = {0: "r0.txt", 1: "r1.txt", 2: "r2.txt", 3: "tmp.3", 4: "inkwell.terms"}
+    fs = spark._jvm.org.apache.hadoop.fs
+    for r in table(spark, sf_dir, "region").select("r_regionkey", "r_name").collect():  # five rows
+        at = fs.Path(f"{path}/{names[r['r_regionkey']]}")
+        out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+        out.write(bytearray(r["r_name"].encode()))
+        out.close()
+    return readers.read_files(spark, path).select("name")
+
+
 @query("SELECT p_partkey AS part_key, upper(reverse(p_name)) AS text, reverse(upper(p_name)) AS other FROM part")
 def filter_chain(spark, sf_dir):
     """name.up.rev is what up makes of what rev makes of it."""

@@ -21,6 +21,16 @@ def read_files(spark: SparkSession, path: str, glob: str = "*", ignore: tuple[st
     return raw.where(keep).select("path", basename(F.col("path")).alias("name"), F.col("length").alias("size"), F.decode(F.col("content"), "UTF-8").alias("text"))
 
 
+def without_root(path: Column, root: str) -> Column:
+    """The logical name: path without the root that it begins with; other paths stay."""
+    return F.when(path.startswith(root), F.substr(path, F.lit(len(root) + 1))).otherwise(path)
+
+
+def file_records(files: DataFrame, root: str) -> DataFrame:
+    """(path, name, size) of files (path, size, ...), named from root on."""
+    return files.select("path", without_root(F.col("path"), root).alias("name"), "size")
+
+
 def route(path: Column) -> Column:
     """html or text, by suffix."""
     return F.when(F.lower(path).rlike(r"\.html?$"), "html").when(F.lower(path).rlike(r"\.xml$"), "xml").otherwise("text")
