@@ -316,7 +316,8 @@ def spans(spark: SparkSession, rows: DataFrame, who: list[str], split: int = SPL
         below = written(spark, read(True).select(*doc, F.col("a").alias("base"), F.col("gram").alias("key"), F.col("bytes").alias("text")), "buckets")
         return out.union(spans(spark, below, [*doc, "base"], split, level + 1))
     windows = written(spark, read(True).mapInArrow(_windows(doc), longs("w0", "w1", *doc, "a")), "windows")
-    first = windows.groupBy("w0", "w1").agg(F.min(F.struct("nid", "a")).alias("first"))
+    first = windows.groupBy("w0", "w1").agg(F.min(F.struct("nid", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").select("w0", "w1", "first")
+    first = written(spark, first, "firsts")  # so that the join stands alone, and a window of very many rows can be split
     again = windows.join(first, ["w0", "w1"]).where("nid <> first.nid or a <> first.a")
     return out.union(again.select(*doc, "a", F.col("a") + LENGTH))
 
