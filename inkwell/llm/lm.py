@@ -40,10 +40,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm.hashing import U, fingerprints, mixed
-from inkwell.llm.shared import release, scratch_path, ship, table, written
+from inkwell.llm.shared import forget, release, scratch_path, ship, table, written
 
-ORDER, FOLDS, BLOCK = 2, 10, 1 << 20
-MAPS, HELD = 128, 1 << 20  # files mapped at a time; n-grams combined at a time
+ORDER, FOLDS, BLOCK = 2, 10, 1 << 21
+MAPS, HELD = 1024, 3 << 19  # files mapped at a time; n-grams combined at a time
 END, BEGIN = U(1), U(2)  # ids of words are larger
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -116,18 +116,39 @@ def tokens(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np
         yield w, h[0], k
 
 
+def planes(x: np.ndarray, width: int = 8) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
 def packed(*columns: np.ndarray) -> bytes:
-    """Columns of one length; the first, sorted, as differences; byte planes under zstd."""
-    first = np.diff(columns[0], prepend=U(0))
-    planes = [np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in (first, *columns[1:])]
-    return zstandard.compress(len(first).to_bytes(8, "little") + b"".join(planes), 1)
+    """Columns of one length in byte planes under zstd: the first, sorted, as differences; of others those that repeat
+    large values as places in their sorted distinct values."""
+    out = [len(columns[0]).to_bytes(8, "little"), planes(np.diff(columns[0], prepend=U(0)))]
+    for c in columns[1:]:
+        own, at = np.unique(c, return_inverse=True) if c.dtype == U else ((), None)
+        if at is not None and 4 * len(own) < 3 * len(c):
+            out += [len(own).to_bytes(8, "little"), planes(np.diff(own, prepend=U(0))), planes(at, 4)]
+        else:
+            out += [bytes(8), planes(c)]
+    return zstandard.compress(b"".join(out), 1)
 
 
 def unpacked(blob: bytes, n: int) -> list[np.ndarray]:
-    raw = zstandard.decompress(blob)
+    raw, upto = zstandard.decompress(blob), 8
+
+    def column(size: int, width: int = 8) -> np.ndarray:
+        nonlocal upto
+        wide = np.zeros((size, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(raw, np.uint8, width * size, upto).reshape(width, -1).T
+        upto += width * size
+        return wide.view("<u8").ravel()
+
     size = int.from_bytes(raw[:8], "little")
-    out = [np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * size, 8 + 8 * size * k).reshape(8, -1).T).view("<u8").ravel() for k in range(n)]
-    out[0] = np.cumsum(out[0], dtype=U)
+    out = [np.cumsum(column(size), dtype=U)]
+    for _ in range(1, n):
+        many = int.from_bytes(raw[upto : upto + 8], "little")
+        upto += 8
+        out.append(np.cumsum(column(many), dtype=U)[column(size, 4).astype(np.int64)] if many else column(size))
     return out
 
 
@@ -164,11 +185,29 @@ def by_shard(shard: np.ndarray, shards: int, *columns: np.ndarray) -> list[tuple
     return [(int(s), packed(*(c[cuts[s] : cuts[s + 1]] for c in columns))) for s in np.flatnonzero(np.diff(cuts))]
 
 
-def _batch(rows: list[tuple[int, bytes]], kind: int = 0) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["shard", "kind", "blob"])
+def places(spark: SparkSession, shards: int) -> list[int]:
+    """For each shard a number whose hash deals it to the partition of the shard's number, of as many partitions as there
+    are shards: so that a task gets one shard, where hashes of the numbers themselves would bring some together."""
+    out: dict[int, int] = {}
+    start, step = 0, 16 * shards + 64
+    while len(out) < shards:
+        ids = spark.range(start, start + step, 1, 1).select(F.col("id").cast("int").alias("id"))
+        for r in ids.groupBy(F.pmod(F.hash("id"), F.lit(shards)).alias("p")).agg(F.min("id").alias("id")).collect():
+            out.setdefault(r["p"], r["id"])
+        start += step
+    return [out[k] for k in range(shards)]
+
+
+def _batch(at: list[int], rows: list[tuple[int, bytes]], kind: int = 0) -> pa.RecordBatch:
+    cols = [pa.array([at[s] for s, _ in rows], pa.int32()), pa.array([s for s, _ in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), pa.array([b for _, b in rows], pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, ["place", "shard", "kind", "blob"])
 
 
-PACKS = "shard int, kind int, blob binary"
+PACKS = "place int, shard int, kind int, blob binary"
+
+
+def by_shard_task(packs: DataFrame, at: list[int]) -> DataFrame:
+    return packs.repartition(len(at), "place").groupBy("place", "shard")
 
 
 class Store:
@@ -264,21 +303,28 @@ def small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if not len(x) or x.max() < 256 else np.uint32 if x.max() < 1 << 32 else np.int64)
 
 
-def _count_words(shards: int):
+def _count_words(at: list[int]):
+    shards = len(at)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [NONE, NONE, np.zeros(0, np.int64)]
+        held = [(NONE, NONE, np.zeros(0, np.int64))]
 
-        def flush():
-            return _batch(by_shard(shard_of(held[0], shards), shards, *held))
+        def all_held():
+            *keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            return summed(keys, n)
+
+        def packs(rows):
+            return _batch(at, by_shard(shard_of(rows[0], shards), shards, *rows))
 
         for b in batches:
             for w, sure, _, _ in blocks(b.column(0).to_pylist()):
-                fresh = summed([w, sure], np.ones(len(w), np.int64))
-                held = summed([np.concatenate(x) for x in zip(held[:2], fresh[:2], strict=True)], np.concatenate([held[2], fresh[2]]))
-                if len(held[0]) > HELD:
-                    yield flush()
-                    held = [NONE, NONE, np.zeros(0, np.int64)]
-        yield flush()
+                held.append(summed([w, sure], np.ones(len(w), np.int64)))
+                if sum(len(x[0]) for x in held) > 2 * HELD:
+                    held = [all_held()]
+                    if len(held[0][0]) > HELD:
+                        yield packs(held.pop())
+                        held = [(NONE, NONE, np.zeros(0, np.int64))]
+        yield packs(all_held())
 
     return run
 
@@ -291,7 +337,7 @@ def merged(tbl: pa.Table, n: int) -> list[np.ndarray]:
 def _keep_words(uri: str):
     def run(key, tbl):
         words, sure, n = summed(*(lambda c: ([c[0], c[1]], c[2].astype(np.int64)))(merged(tbl, 3)))
-        Store(uri).put(f"word-{key[0].as_py()}", n_key=words, n_sure=sure, n=n)
+        Store(uri).put(f"word-{key[1].as_py()}", n_key=words, n_sure=sure, n=n)
         return pa.table({"tokens": pa.array([int(n.sum())], pa.int64()), "words": pa.array([len(words)], pa.int64())})
 
     return run
@@ -326,31 +372,38 @@ def combined(key: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> list[
     return [key[at], *(c[order][at] for c in columns), np.add.reduceat(n[order], at) if len(at) else n]
 
 
-def dealt(shards: int, key: np.ndarray, columns: list[np.ndarray], n: np.ndarray, kind: int = 0) -> pa.RecordBatch:
+def dealt(places: list[int], key: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
     """Rows for their shards, without the key, which follows from the rest, in the order of the longest history."""
+    shards = len(places)
     shard = shard_of(key, shards)
     order = np.lexsort((columns[-1], columns[0], shard))
-    return _batch(by_shard(shard[order], shards, *(c[order] for c in columns), n[order]), kind)
+    return _batch(places, by_shard(shard[order], shards, *(c[order] for c in columns), n[order]))
 
 
-def _count_grams(uri: str, shards: int, limit: float, order: int):
+def _count_grams(uri: str, places: list[int], limit: float, order: int):
     """N-grams of the texts as (histories, longest first, word, count)."""
+    shards = len(places)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, none = store_of(uri), [NONE] * (order + 1) + [np.zeros(0, np.int64)]
-        held = none
+        store, none = store_of(uri), [*[NONE] * (order + 1), np.zeros(0, np.int64)]
+        held = [none]
+
+        def all_held():
+            key, *columns, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            return combined(key, columns, n)
+
         for b in batches:
             for w, _, h, _ in blocks(b.column(0).to_pylist(), order):
                 key = gram_keys(h[-1], w, hot_words(store, shards, h[0], limit))
-                fresh = combined(key, [*h[::-1], w], np.ones(len(w), np.int64))
-                held = [np.concatenate(x) for x in zip(held, fresh, strict=True)]
-                if len(held[0]) > 2 * HELD:
-                    held = combined(held[0], held[1:-1], held[-1])
-                    if len(held[0]) > HELD:
-                        yield dealt(shards, held[0], held[1:-1], held[-1])
-                        held = none
-        held = combined(held[0], held[1:-1], held[-1])
-        yield dealt(shards, held[0], held[1:-1], held[-1])
+                held.append(combined(key, [*h[::-1], w], np.ones(len(w), np.int64)))
+                if sum(len(x[0]) for x in held) > 2 * HELD:
+                    held = [all_held()]
+                    if len(held[0][0]) > HELD:
+                        key, *columns, n = held.pop()
+                        yield dealt(places, key, columns, n)
+                        held = [none]
+        key, *columns, n = all_held()
+        yield dealt(places, key, columns, n)
 
     return run
 
@@ -362,12 +415,13 @@ def stats_of(n: np.ndarray) -> list[np.ndarray]:
 STATS = ["total", "one", "two", "more"]
 
 
-def _keep_grams(uri: str, shards: int, limit: float, order: int):
+def _keep_grams(uri: str, places: list[int], limit: float, order: int):
     """Writes the shard's n-grams and its own histories; hands on what the next lower order counts (kind 0) and the parts
     of hot histories (kind 1)."""
+    shards = len(places)
 
     def run(key, tbl):
-        s, store = key[0].as_py(), store_of(uri)
+        s, store = key[1].as_py(), store_of(uri)
         *columns, n = merged(tbl.filter(pa.compute.equal(tbl.column("kind"), 0)), order + 1)
         h, w = columns[:-1], columns[-1]
         hot = hot_words(store, shards, h[-1], limit)
@@ -380,12 +434,12 @@ def _keep_grams(uri: str, shards: int, limit: float, order: int):
         rows = []
         if order > 2:  # the word after each shorter history
             lower = combined(gram_keys(h[1], w, hot), columns[1:], np.ones(len(w), np.int64))
-            rows.append(dealt(shards, lower[0], lower[1:-1], lower[-1]))
+            rows.append(dealt(places, lower[0], lower[1:-1], lower[-1]))
         else:
             follow = summed([w], np.ones(len(w), np.int64))
-            rows.append(_batch(by_shard(shard_of(follow[0], shards), shards, *follow)))
+            rows.append(_batch(places, by_shard(shard_of(follow[0], shards), shards, *follow)))
         part = summed([h[0][hot]], *(x[hot] for x in stats_of(n)))
-        rows.append(_batch(by_shard(shard_of(part[0], shards), shards, *part), 1))
+        rows.append(_batch(places, by_shard(shard_of(part[0], shards), shards, *part), 1))
         out = pa.Table.from_batches(rows)
         for k, x in enumerate(seen):  # a shard's counts of counts, once
             out = out.append_column(f"n{k + 1}", pa.array([x if r == 0 else 0 for r in range(len(out))], pa.int64()))
@@ -399,7 +453,7 @@ def _keep_hot(uri: str, order: int):
 
     def run(key, tbl):
         own = summed(*(lambda c: ([c[0]], *(x.astype(np.int64) for x in c[1:])))(merged(tbl, 5)))
-        store_of(uri).put(f"hot{order}-{key[0].as_py()}", total_key=own[0], **dict(zip(STATS, own[1:], strict=True)))
+        store_of(uri).put(f"hot{order}-{key[1].as_py()}", total_key=own[0], **dict(zip(STATS, own[1:], strict=True)))
         return pa.table({"n": pa.array([len(own[0])], pa.int64())})
 
     return run
@@ -408,7 +462,7 @@ def _keep_hot(uri: str, order: int):
 def _keep_follows(uri: str):
     def run(key, tbl):
         words, n = summed(*(lambda c: ([c[0]], c[1].astype(np.int64)))(merged(tbl, 2)))
-        store_of(uri).put(f"follow-{key[0].as_py()}", n_key=words, n=n)
+        store_of(uri).put(f"follow-{key[1].as_py()}", n_key=words, n=n)
         return pa.table({f"f{k}": pa.array([int(x)], pa.int64()) for k, x in enumerate([n.sum(), *((n == k).sum() for k in range(1, 5)), (n >= 3).sum()])})
 
     return run
@@ -439,19 +493,24 @@ class Model:
         """(count of each word, base log10, model log10), given histories of 1 to order - 1 words."""
         store, s = store_of(self.uri), self.shards
         h = [h] if isinstance(h, np.ndarray) else h
-        words, first, back = np.unique(w, return_index=True, return_inverse=True)
-        if sure is None or (sure[first][back] == sure).all():
-            count = store.find("word", s, words, ["n"], None if sure is None else sure[first])[0][back]
+        words, back = np.unique(w, return_inverse=True)
+        beside = np.zeros(len(words), U)
+        if sure is not None:
+            beside[back] = sure
+        if sure is None or (beside[back] == sure).all():
+            count = store.find("word", s, words, ["n"], None if sure is None else beside)[0][back]
         else:  # two words of one id in this block
             line = np.argsort(w, kind="stable")
             count = np.empty(len(w), np.int64)
             count[line] = store.find("word", s, w[line], ["n"], sure[line])[0]
         p = self.lower(store.find("follow", s, words, ["n"])[0])[back]
         base = np.log10((count + 0.1) / (self.n + 0.1 * (self.v + 1)))
-        hot = hot_words(store, s, h[0], self.limit)
+        before, bback = np.unique(h[0], return_inverse=True)
+        hot_before = hot_words(store, s, before, self.limit)
+        hot = hot_before[bback]
         for k in range(2, self.order + 1):
-            past, at, hback = np.unique(h[k - 2], return_index=True, return_inverse=True)
-            own, d = hot[at], self.d[k]
+            past, at, hback = (before, None, bback) if k == 2 else np.unique(h[k - 2], return_index=True, return_inverse=True)
+            own, d = hot_before if k == 2 else hot[at], self.d[k]
             # histories lie in the shard of their n-grams: the top 24 bits of a key are the history's
             stats = np.array(store.find(f"gram{k}", s, past, STATS), float)
             if own.any():
@@ -480,19 +539,21 @@ def trained(spark: SparkSession, train: DataFrame, order: int = ORDER) -> Model:
     ship(spark)
     uri = scratch_path(spark, "lm")
     shards = max(4, 2 * train.rdd.getNumPartitions())
-    texts = train.select("text")
-    rows = texts.mapInArrow(_count_words(shards), PACKS).groupBy("shard").applyInArrow(_keep_words(uri), "tokens long, words long")
+    texts, at = train.select("text"), places(spark, shards)
+    rows = by_shard_task(texts.mapInArrow(_count_words(at), PACKS), at).applyInArrow(_keep_words(uri), "tokens long, words long")
     n, v = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    limit, seen = n / (4 * shards), {}
-    packs = texts.mapInArrow(_count_grams(uri, shards, limit, order), PACKS)
+    limit, seen, used = n / (4 * shards), {}, []
+    packs = texts.mapInArrow(_count_grams(uri, at, limit, order), PACKS)
     for k in range(order, 1, -1):
-        packs = written(spark, packs.groupBy("shard").applyInArrow(_keep_grams(uri, shards, limit, k), PACKS + ", n1 long, n2 long, n3 long, n4 long"), "lm-counts")
+        packs = written(spark, by_shard_task(packs, at).applyInArrow(_keep_grams(uri, at, limit, k), PACKS + ", n1 long, n2 long, n3 long, n4 long"), "lm-counts")
+        used.append(packs)
         release(spark)  # the shuffle of the order above
         seen[k] = [x or 0 for x in packs.agg(*[F.sum(f"n{i}") for i in range(1, 5)]).first()]
-        packs.where("kind = 1").groupBy("shard").applyInArrow(_keep_hot(uri, k), "n long").agg(F.sum("n")).first()
-        packs = packs.where("kind = 0").select("shard", "kind", "blob")
-    found = packs.groupBy("shard").applyInArrow(_keep_follows(uri), ", ".join(f"f{k} long" for k in range(6)))
+        by_shard_task(packs.where("kind = 1"), at).applyInArrow(_keep_hot(uri, k), "n long").agg(F.sum("n")).first()
+        packs = packs.where("kind = 0").select("place", "shard", "kind", "blob")
+    found = by_shard_task(packs, at).applyInArrow(_keep_follows(uri), ", ".join(f"f{k} long" for k in range(6)))
     follow = [x or 0 for x in found.agg(*[F.sum(f"f{k}") for k in range(6)]).first()]
+    forget(spark, *used)
     return Model(uri, shards, n, v, limit, seen, follow)
 
 

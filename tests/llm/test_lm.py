@@ -39,15 +39,17 @@ class Brute:
             self.after[h].append(c)
         self.follow = Counter(w for _, w in self.bi)
         self.d2, self.d1 = discount(list(self.bi.values())), discount(list(self.follow.values()))
+        self.spare = sum(map(self.d1, self.follow.values()))
+        self.past = {h: (sum(counts), sum(map(self.d2, counts))) for h, counts in self.after.items()}
 
     def p(self, h, w):
         types = len(self.bi)
-        p1 = (self.follow[w] - self.d1(self.follow[w])) / types + sum(map(self.d1, self.follow.values())) / types / (self.v + 1) if types else 1.0
-        total = sum(self.after[h])
+        p1 = (self.follow[w] - self.d1(self.follow[w])) / types + self.spare / types / (self.v + 1) if types else 1.0
+        total, spare = self.past.get(h, (0, 0))
         if not total:
             return p1
         c = self.bi[h, w]
-        return (c - self.d2(c)) / total + sum(map(self.d2, self.after[h])) / total * p1
+        return (c - self.d2(c)) / total + spare / total * p1
 
     def row(self, text):
         t = words(text)
@@ -208,3 +210,12 @@ def test_stores_that_are_not_local(tmp_path, monkeypatch):
     for s in (a, b):
         assert s.find("word", 1, np.array([5, 6, 9], lm.U), ["n"])[0].tolist() == [2, 0, 3] and s.get("word-1") == {}
     assert isinstance(a.get("word-0")["n"], np.memmap) and len(list(tmp_path.iterdir())) == 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 500])
+def test_packs(n):
+    r = np.random.default_rng(n)
+    rare, common = (np.sort(r.integers(0, 2**64, n, dtype=np.uint64)), r.choice(r.integers(0, 2**64, 40, dtype=np.uint64), n))
+    count = r.integers(1, 2**33, n)
+    for got, want in zip(lm.unpacked(lm.packed(rare, common, rare[::-1].copy(), count), 4), (rare, common, rare[::-1], count), strict=True):
+        assert (got == want.astype(np.uint64)).all() and len(got) == n
