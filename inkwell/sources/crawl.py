@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.plans.scratch import kept
@@ -104,13 +104,16 @@ def allowed(url: Column, rules: list[str]) -> Column:
     return F.lit(True) if not rules else ~F.array_contains(F.array(*[path(url).startswith(r) for r in rules]), True)
 
 
-def within_quota(pages: DataFrame, most: int) -> DataFrame:
-    """Pages of each host, in order of page_id, until the host's bytes reach most; the page that passes it is kept."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(host(F.col("url"))).orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.octet_length("html")).over(w), F.lit(0))
-    return pages.withColumn("_before", before).where(F.col("_before") < most).drop("_before")
+def within_quota(pages: DataFrame, most: int, width: int = 4096) -> DataFrame:
+    """Pages of each host, in order of page_id, until the host's bytes reach most; the page that passes it is kept. Bytes
+    are summed by blocks of page_id first, and only blocks that begin below the quota are gone through page by page, so
+    a host with very many pages is not one task."""
+    rows = pages.withColumns({"_host": host(F.col("url")), "_block": F.floor(F.col("page_id") / width), "_size": F.octet_length("html")})
+    so_far = Window.partitionBy("_host").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_host", "_block").agg(F.sum("_size").alias("_sum")).select("_host", "_block", F.coalesce(F.sum("_sum").over(so_far), F.lit(0)).alias("_below")).where(F.col("_below") < most)
+    w = Window.partitionBy("_host", "_block").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    kept_rows = rows.join(sums, ["_host", "_block"]).withColumn("_before", F.col("_below") + F.coalesce(F.sum("_size").over(w), F.lit(0)))
+    return kept_rows.where(F.col("_before") < most).select(*pages.columns)
 
 
 def reachable(edges: DataFrame, start: DataFrame, levels: int = 5) -> DataFrame:

@@ -305,3 +305,18 @@ def test_c_token_names():
     assert got[:5] == ["TYPEDEF", "UNSIGNED", "LONG", "IDENTIFIER", "SEMI"] and got[-3:] == ["BADTOK", "BOOL", "EOI"]
     assert [t for _, _, t, x in named_tokens(source) if x in ("size", "pair")] == ["IDENTIFIER", "TYPEDEF_NAME", "IDENTIFIER", "TYPEDEF_NAME", "TYPEDEF_NAME"]
     assert set(got) <= TOKENS and len(TOKENS) == 91
+
+
+@pytest.mark.parametrize("width", [1, 5, 4096])
+def test_quota_over_blocks(spark, width):
+    from inkwell.sources import crawl
+
+    rows = [(k, f"http://{'hot' if k % 3 else 'h' + str(k % 7)}.example.com/{k}", "x" * (k * 37 % 101)) for k in range(200)]
+    got = sorted(r["page_id"] for r in crawl.within_quota(spark.createDataFrame(rows, "page_id long, url string, html string"), 700, width).collect())
+    used, want = {}, []
+    for k, url, html in rows:
+        h = url.split("/")[2]
+        if used.get(h, 0) < 700:
+            want.append(k)
+        used[h] = used.get(h, 0) + len(html)
+    assert got == want
