@@ -43,7 +43,7 @@ from inkwell.llm.hashing import U, fingerprints, mixed
 from inkwell.llm.shared import forget, release, scratch_path, ship, table, written
 
 ORDER, FOLDS, BLOCK = 2, 10, 1 << 21
-MAPS, HELD = 1024, 3 << 19  # files mapped at a time; n-grams combined at a time
+MAPS, HELD = 1024, 1 << 20  # files mapped at a time; n-grams combined at a time
 END, BEGIN = U(1), U(2)  # ids of words are larger
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
