@@ -1,8 +1,10 @@
 """Suffix-array removal of repeated 100-byte strings: bucket-pointer refinement over buckets dealt by q-grams.
 
 A suffix array of the whole corpus to depth LENGTH, built where its buckets meet. Every LENGTH-byte window goes to the
-bucket of one of its own q-grams, the one of least hash (a function of the window's bytes, so equal windows meet).
-Consecutive windows with that gram in common are one run: its bytes, its start, its number of windows. Then
+bucket of one of its own q-grams (a function of the window's bytes, so equal windows meet): of its places of 8 bytes the
+leftmost one of least hash, modulo HALF, is where the gram starts. So a gram has GRAM bytes, over half a window, and
+texts that share short phrases only do not meet, while windows change their gram hardly more often than their place of
+least hash. Consecutive windows with that gram in common are one run: its bytes, its start, its number of windows. Then
 
 1. grams that more than one run of the corpus names are kept (counted with map-side sums), other runs have no repeat;
 2. runs of equal bytes (by two 64-bit fingerprints, see hashing) are one class: all but its first are repeats as a
@@ -40,9 +42,10 @@ from pyspark.sql import functions as F
 from inkwell.llm.hashing import U, fingerprints, mixed
 from inkwell.llm.shared import forget, release, ship, table, written
 
-LENGTH, GRAM = 100, 24
+LENGTH, HALF = 100, 47  # of the places of 8 bytes in a window
+GRAM = LENGTH - HALF + 1
 PIECE, CHUNK, SORTED = 1 << 18, 1 << 18, 1 << 18
-MOST = 1024  # windows of a run
+MOST, PLACES = 1024, 1 << 22  # windows of a run; places of a chunk, at most
 SPLIT, LEVELS, LAST = 256, 3, 16
 NO_ID = 2**63 - 1
 
@@ -60,49 +63,48 @@ def words(b: np.ndarray) -> np.ndarray:
     return np.ndarray((len(b) - 7,), "<u8", b, strides=(1,)).copy()
 
 
-def gram_hashes(b: np.ndarray, level: int = 0) -> np.ndarray:
-    w, n = words(b), len(b) - GRAM + 1
-    h = w[:n] * U(0x9E3779B97F4A7C15) + (w[8 : n + 8] ^ U(0xA0761D6478BD642F)) * U(0xE7037ED1A0B428DB) + (w[16 : n + 16] ^ U(0x8EBC6AF09C88C6E3)) * U(0x589965CC75374CC3)
-    h ^= U(level * 0x2545F4914F6CDD1D & 2**64 - 1)
+def seeds(w: np.ndarray, level: int = 0) -> np.ndarray:
+    """A hash of the 8 bytes at each place, in the low bits the place: the least of them is the leftmost of equals."""
+    h = (w ^ U(level * 0x2545F4914F6CDD1D + 0xA0761D6478BD642F & 2**64 - 1)) * U(0x9E3779B97F4A7C15)
     h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)
-    return h ^ (h >> U(29))
+    return (h & ~U(PLACES - 1)) | np.arange(len(w), dtype=U)
+
+
+def gram_hashes(w: np.ndarray, at: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(at), U)
+    for k in (*range(0, GRAM - 8, 8), GRAM - 8):
+        h = mixed((h ^ w[at + k]) * U(0x9E3779B97F4A7C15))
+    return h
 
 
 def runs(pieces: list[tuple[int, bytes]], level: int = 0, named: bool = True) -> tuple[np.ndarray, ...]:
     """Of pieces (offset in text, at least LENGTH bytes): piece, gram hash, start, windows, whether the gram comes twice
     within and, if named, the bytes' fingerprints."""
-    raw = b"".join(p for _, p in pieces)
-    b = np.frombuffer(raw, np.uint8)
+    b = np.frombuffer(b"".join(p for _, p in pieces), np.uint8)
     size = np.array([len(p) for _, p in pieces])
     ends = np.cumsum(size)
-    piece = np.repeat(np.arange(len(pieces)), size)
-    h, width = gram_hashes(b, level), LENGTH - GRAM + 1
-    least = slid(h, width, np.minimum)  # by window
-    at = np.arange(len(least))
-    valid = at + LENGTH <= ends[piece[: len(least)]]
-    fresh = np.ones(len(least), bool)
-    fresh[1:] = (least[1:] != least[:-1]) | ~valid[:-1] | (piece[1 : len(least)] != piece[: len(least) - 1])
-    start = np.flatnonzero(fresh & valid)
-    run = np.cumsum(fresh & valid) - 1
-    n = np.bincount(run[valid], minlength=len(start))
-    # places whose gram is the least of some window, counted by run
-    most = slid(np.concatenate([np.zeros(width - 1, U), np.where(valid, least, U(0)), np.zeros(width - 1, U)]), width, np.maximum)
-    place = np.flatnonzero(h == most[: len(h)])
-    low, high = run[np.maximum(place - width + 1, 0)], run[np.minimum(place, len(run) - 1)]
-    low, met = np.maximum(low, 0), np.zeros(len(start), np.int64)
-    while len(place):
-        same = least[start[low]] == h[place]
-        inside = same & (place >= start[low]) & (place < start[low] + n[low] + width - 1)
-        met += np.bincount(low[inside], minlength=len(start))
-        go = low < high
-        place, low, high = place[go], low[go] + 1, high[go]
+    w = words(b)
+    gram = (slid(seeds(w, level), LENGTH - 7, np.minimum) & U(PLACES - 1)).astype(np.int64)  # by window, the seed's place
+    gram[gram - np.arange(len(gram)) >= HALF] -= HALF  # the gram's place
+    fresh = np.ones(len(gram), bool)
+    fresh[1:] = gram[1:] != gram[:-1]
+    fresh[ends[:-1]] = True
+    start = np.flatnonzero(fresh)
+    piece = np.searchsorted(ends, start, "right")
+    valid = start + LENGTH <= ends[piece]
+    start, piece = start[valid], piece[valid]
+    key = gram_hashes(w, gram[start])
+    opens = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])]))
+    met = np.diff(np.append(opens, len(start)))  # places of the gram: windows with one place differ
+    start, piece, key = start[opens], piece[opens], key[opens]
+    n = np.minimum(np.append(start[1:], len(b)), ends[piece] - LENGTH + 1) - start
     many = -(-n // MOST)
     part = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     own = np.repeat(np.arange(len(start)), many)
     a = start[own] + part * MOST
     k = np.minimum(MOST, n[own] - part * MOST)
     offset = np.array([o for o, _ in pieces]) - (ends - size)
-    return piece[a], least[a], a + offset[piece[a]], k, met[own] > 1, *(fingerprints(b, a, a + k + LENGTH - 1) if named else ())
+    return piece[own], key[own], a + offset[piece[own]], k, met[own] > 1, *(fingerprints(b, a, a + k + LENGTH - 1) if named else ())
 
 
 def cut_up(rows: Iterator[tuple[int, bytes]]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -236,20 +238,18 @@ def _sort(doc: list[str]):
     return run
 
 
-def _bytes(doc: list[str], deep: bool):
+def _bytes(doc: list[str]):
     """The wanted runs' bytes: rows (*who, text, want: list of (deep, gram, a, n))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = {c: b.column(c).to_pylist() for c in doc}
             base = b.column("base").to_pylist() if "base" in b.schema.names else [0] * b.num_rows
-            for k, (text, wants) in enumerate(zip(b.column("text"), b.column("want").to_pylist(), strict=True)):
-                want = [w for w in wants if w["deep"] == deep]
-                if want:
-                    raw, cols = text.as_py() or b"", {"gram": pa.array([w["gram"] for w in want], pa.int64())}
-                    cols |= {c: pa.array([x[k]] * len(want), pa.int64()) for c, x in ids.items()} | {"a": pa.array([w["a"] for w in want], pa.int64())}
-                    cols["bytes"] = pa.array([raw[w["a"] - base[k] : w["a"] - base[k] + w["n"] + LENGTH - 1] for w in want], pa.binary())
-                    yield pa.RecordBatch.from_pydict(cols)
+            for k, (text, want) in enumerate(zip(b.column("text"), b.column("want").to_pylist(), strict=True)):
+                raw, cols = text.as_py() or b"", {"deep": pa.array([w["deep"] for w in want], pa.bool_()), "gram": pa.array([w["gram"] for w in want], pa.int64())}
+                cols |= {c: pa.array([x[k]] * len(want), pa.int64()) for c, x in ids.items()} | {"a": pa.array([w["a"] for w in want], pa.int64())}
+                cols["bytes"] = pa.array([raw[w["a"] - base[k] : w["a"] - base[k] + w["n"] + LENGTH - 1] for w in want], pa.binary())
+                yield pa.RecordBatch.from_pydict(cols)
 
     return run
 
@@ -307,15 +307,17 @@ def spans(spark: SparkSession, rows: DataFrame, who: list[str], split: int = SPL
     want = written(spark, want.groupBy(*who).agg(F.collect_list(F.struct("deep", "gram", "a", "n")).alias("want")), "wanted")  # of one text
     forget(spark, kinds)
     deeper = not want.where(F.exists("want", lambda w: w["deep"])).isEmpty()
-    read = lambda deep: rows.join(want, who).mapInArrow(_bytes(doc, deep), longs("gram", *doc, "a") + ", bytes binary")
-    out = out.union(written(spark, read(False).repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort(doc), longs(*doc, "lo", "hi")), "spans"))
+    strings = rows.join(want, who).mapInArrow(_bytes(doc), "deep boolean, " + longs("gram", *doc, "a") + ", bytes binary")
+    if deeper:
+        strings = written(spark, strings, "strings")
+    out = out.union(written(spark, strings.where("not deep").repartition("gram").sortWithinPartitions("gram").mapInArrow(_sort(doc), longs(*doc, "lo", "hi")), "spans"))
     release(spark)
     if not deeper:
         return out
     if level < LEVELS:
-        below = written(spark, read(True).select(*doc, F.col("a").alias("base"), F.col("gram").alias("key"), F.col("bytes").alias("text")), "buckets")
+        below = written(spark, strings.where("deep").select(*doc, F.col("a").alias("base"), F.col("gram").alias("key"), F.col("bytes").alias("text")), "buckets")
         return out.union(spans(spark, below, [*doc, "base"], split, level + 1))
-    windows = written(spark, read(True).mapInArrow(_windows(doc), longs("w0", "w1", *doc, "a")), "windows")
+    windows = written(spark, strings.where("deep").mapInArrow(_windows(doc), longs("w0", "w1", *doc, "a")), "windows")
     first = windows.groupBy("w0", "w1").agg(F.min(F.struct("nid", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").select("w0", "w1", "first")
     first = written(spark, first, "firsts")  # so that the join stands alone, and a window of very many rows can be split
     again = windows.join(first, ["w0", "w1"]).where("nid <> first.nid or a <> first.a")

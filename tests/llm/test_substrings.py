@@ -129,3 +129,45 @@ def test_one_gram_in_very_many_texts(spark, folder):
     r = random.Random(5)
     rows = [(k, f"{prose(k, 12, 200)} Terms of order {r.randrange(10**6):06d} apply to all the goods in the list below and to their carriage, see overleaf for the whole text of {r.randrange(400)} pages. {prose(k + 5_000, 12, 200)}") for k in range(900)]
     assert got(substrings.op3_suffix_dedup(spark, folder(documents=documents(rows)))) == expected(rows)
+
+
+def keyed(texts, level):
+    """The gram of each window, by its text and place; runs with equal windows must be marked."""
+    out = {}
+    for chunk in substrings.cut_up(iter(enumerate(texts))):
+        for piece, gram, a, n, twice in zip(*substrings.runs([(o, p) for _, o, p in chunk], level, False), strict=True):
+            k = chunk[piece][0]
+            assert twice or len({texts[k][i : i + L] for i in range(a, a + n)}) == n
+            for i in range(a, a + n):
+                assert (k, i) not in out
+                out[k, i] = int(gram)
+    return out
+
+
+@pytest.mark.parametrize("level", [0, 2])
+@pytest.mark.parametrize("size", [700, 1 << 18])
+def test_equal_windows_meet(level, size, monkeypatch):
+    """Equal windows name the same gram, also in other chunks."""
+    monkeypatch.setattr(substrings, "PIECE", size // 2)
+    monkeypatch.setattr(substrings, "CHUNK", size)
+    r = random.Random(4)
+    some = lambda n, letters: "".join(r.choice(letters) for _ in range(n)).encode()
+    base = some(600, "ab")
+    texts = [some(900, "ab") + base + some(300, "abc"), b"x" * 1500, b"ab" * 700 + base, some(100, "abc"), some(60, "abcd") * 20, some(93, "pq") * 12 + base, base[100:400], b"short", some(7, "abc") * 99]
+    met = keyed(texts, level)
+    assert set(met) == {(k, i) for k, t in enumerate(texts) for i in range(len(t) - L + 1)}
+    grams = {}
+    for (k, i), gram in met.items():
+        assert grams.setdefault(texts[k][i : i + L], gram) == gram
+
+
+def test_shared_phrases_do_not_meet():
+    """Texts that share phrases of 40 bytes, but no window, are not dealt to be sorted."""
+    r = random.Random(6)
+    phrases = ["".join(r.choice("abcdefghijklmnop ") for _ in range(40)) for _ in range(300)]
+    texts = ["".join(r.choice(phrases) for _ in range(40)).encode() for _ in range(100)]
+    windows = [t[k : k + L] for t in texts for k in range(len(t) - L + 1)]
+    assert len(windows) - len(set(windows)) < len(windows) / 100
+    _, gram, *_ = substrings.runs([(0, t) for t in texts], 0, False)
+    _, size = np.unique(gram, return_counts=True)
+    assert size[size > 1].sum() < 0.3 * len(gram)
