@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from inkwell.functions.text import tokenize
 from inkwell.functions.udf import ship
-from inkwell.operators import locks
+from inkwell.operators import index, locks
 
 
 def read_documents(spark: SparkSession, path: str, schema: str = "doc_id long, text string", files: int = 16) -> DataFrame:
@@ -25,18 +25,20 @@ def stream_postings(docs: DataFrame) -> DataFrame:
 
 
 def maintain(docs: DataFrame, path: str, checkpoint: str):
-    """Adds each batch's postings under path, in a folder named by the batch, so a batch that runs again replaces its
-    own rows only. No state is kept: a document comes in one batch."""
+    """Adds each batch's postings, and its documents' numbers, under path, in folders named by the batch, so a batch
+    that runs again replaces its own rows only. No state is kept."""
 
     def add(batch: DataFrame, number: int) -> None:
-        rows = batch.select("docnum", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("term", "docnum").agg(F.count("*").alias("dtf"))
-        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.select("docnum").write.mode("overwrite").parquet(f"{path}/docs/batch={number}")
+        index.postings_of(batch).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def postings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).groupBy("term", "docnum").agg(F.sum("dtf").alias("dtf"))
+    """(term, docnum, dtf) of all batches; counts of a document that came in several are added up."""
+    rows = spark.read.parquet(f"{path}/postings").select("term", "docnum", "dtf")
+    return index.added(rows) if index.repeats(spark.read.parquet(f"{path}/docs").select("docnum", "batch").distinct()) else rows
 
 
 def _advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
